@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomfold.llm import canonical_mapping, packing, tokens
+from loomfold.llm import canonical_mapping, packing, spans, tokens
 from loomfold.sources.tables import table
 
 CONTAINER = 4_096
@@ -27,8 +27,12 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", CONTAINER)
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_pairs(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+    return {"p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
