@@ -5,13 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomfold.llm import canonical_mapping, packing, spans, tokens
+from loomfold.llm import canonical_mapping, packing, spans, splitting, tokens
 from loomfold.sources.tables import table
 
 CONTAINER = 4_096
 
 
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    page, chunk = table(spark, d, "page"), table(spark, d, "chunk")
+    return page.select(F.lit("page").alias("src"), F.col("page_id").alias("item_id"), splitting.sized(F.col("page_text")).alias("text")).unionByName(
+        chunk.select(F.lit("chunk").alias("src"), F.col("chunk_id").alias("item_id"), splitting.sized(F.col("content_text"), F.col("heading")).alias("text"))
+    )
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_items(_items(spark, d))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_pieces(spark, d).filter("piece = 1").select("src", "item_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical_mapping.map_to_canonical(table(spark, d, "bit_academic_plan_coop"), "row_id", ["category", "type"], table(spark, d, "canonical_value"))
 
@@ -32,8 +48,16 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+    return {"p3_found": p3_found, "p3_pieces": p3_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+
+
+P3_SQL = """
+SELECT 'page' AS src, page_id AS item_id FROM page WHERE length(page_text) > 1200
+UNION ALL
+SELECT 'chunk', chunk_id FROM chunk
+WHERE coalesce(length(content_text), 0) + CASE WHEN coalesce(heading, '') = '' THEN 0 ELSE length(heading) + 1 END > 1200
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": P3_SQL}
