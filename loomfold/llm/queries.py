@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfold.llm import canonical_mapping, packing, spans, splitting, tokens
+from loomfold.llm import canonical_form, canonical_mapping, packing, spans, splitting, tokens
 from loomfold.sources.tables import table
 
 CONTAINER = 4_096
@@ -28,6 +28,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).filter("piece = 1").select("src", "item_id")
 
 
+def _looks(spark: SparkSession, d: str) -> DataFrame:
+    course, page = table(spark, d, "course"), table(spark, d, "page")
+    return course.select(F.lit("course").alias("src"), F.col("course_id").alias("id"), F.col("name_th").alias("text")).unionByName(
+        page.select(F.lit("page").alias("src"), F.col("page_id").alias("id"), F.col("page_text").alias("text"))
+    )
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical_form.same_look(_looks(spark, d))
+
+
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    return canonical_form.canonical_text(_looks(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical_mapping.map_to_canonical(table(spark, d, "bit_academic_plan_coop"), "row_id", ["category", "type"], table(spark, d, "canonical_value"))
 
@@ -48,7 +63,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_pieces": p3_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+    return {"p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_texts": p6_texts, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 
 P3_SQL = """
