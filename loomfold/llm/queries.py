@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfold.llm import canonical_form, canonical_mapping, packing, spans, splitting, tokens
+from loomfold.llm import canonical_form, canonical_mapping, packing, spans, splitting, text_quality, tokens
 from loomfold.sources.tables import table
 
 CONTAINER = 4_096
 
 
+def p2_statistics(spark: SparkSession, d: str) -> DataFrame:
+    stats = text_quality.text_statistics(table(spark, d, "page"), "page_id", "page_text")
+    return text_quality.beside_stored(stats, table(spark, d, "page_metrics"), "page_id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return text_quality.text_statistics(table(spark, d, "page"), "page_id", "page_text").filter("kind NOT IN ('prose', 'blank')").select("page_id", "kind")
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
     page, chunk = table(spark, d, "page"), table(spark, d, "chunk")
     return page.select(F.lit("page").alias("src"), F.col("page_id").alias("item_id"), splitting.sized(F.col("page_text")).alias("text")).unionByName(
@@ -63,7 +72,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_texts": p6_texts, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+    return {"p2_found": p2_found, "p2_statistics": p2_statistics, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_texts": p6_texts, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 
 P3_SQL = """
@@ -75,4 +84,4 @@ WHERE coalesce(length(content_text), 0) + CASE WHEN coalesce(heading, '') = '' T
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL}
+    return {"p2_found": p2_found, "p2_statistics": p2_statistics, "p3_found": P3_SQL}
