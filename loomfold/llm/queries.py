@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfold.llm import canonical_form, canonical_mapping, packing, spans, splitting, text_quality, tokens
+from loomfold.llm import canonical_form, canonical_mapping, packing, scan_noise, spans, splitting, text_quality, tokens
 from loomfold.sources.tables import table
 
 CONTAINER = 4_096
@@ -37,6 +37,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).filter("piece = 1").select("src", "item_id")
 
 
+def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, scan_noise.Model]:
+    page = table(spark, d, "page")
+    model = scan_noise.learn(scan_noise.clean_texts(page), table(spark, d, "lexicon_term"))
+    return scan_noise.scanned_texts(page, table(spark, d, "stage_result")), model
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.noise(*_scans(spark, d))
+
+
+def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.repaired(*_scans(spark, d))
+
+
 def _looks(spark: SparkSession, d: str) -> DataFrame:
     course, page = table(spark, d, "course"), table(spark, d, "page")
     return course.select(F.lit("course").alias("src"), F.col("course_id").alias("id"), F.col("name_th").alias("text")).unionByName(
@@ -72,7 +86,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_statistics": p2_statistics, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_texts": p6_texts, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+    return {"p2_found": p2_found, "p2_statistics": p2_statistics, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_texts": p5_texts, "p6_found": p6_found, "p6_texts": p6_texts, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 
 P3_SQL = """
