@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfold.operators import hierarchy, packed_values
+from loomfold.plans import catalog, retrieval, texts
 from loomfold.sources.tables import table
 
 
@@ -31,9 +32,14 @@ def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p4_hierarchy": p4_hierarchy}
+    found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    for m in MODULES:
+        found |= m.R.queries
+    return found | {"p1_found": p1_found, "p4_found": p4_found, "p4_hierarchy": p4_hierarchy}
 
 
+MODULES = (catalog, retrieval, texts)
+
 P4_SQL = """
 WITH RECURSIVE e AS (SELECT DISTINCT source_path, code, unnest(prerequisite_codes) AS required FROM normalized_course WHERE code IS NOT NULL AND source_path IS NOT NULL),
 k AS (SELECT * FROM e WHERE required IS NOT NULL),
@@ -43,4 +49,7 @@ SELECT source_path, code, required FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL}
+    found: dict[str, str] = {}
+    for m in MODULES:
+        found |= m.R.sql
+    return found | {"p4_found": P4_SQL}
