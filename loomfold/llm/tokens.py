@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomfold.llm.arrays import CHUNK, chunks, code_points, prefix, ragged, stretch_hash, strings
-from loomfold.sources.shared import shared_path
+from loomfold.sources.shared import checkpoint, shared_path
 
 TOKENIZERS = "/opt/tokenizers"
 #: Words compiled into the automaton; it speeds up the encoding and changes no id.
@@ -257,14 +257,24 @@ def _mapped(folder: str) -> dict[str, np.ndarray]:
 
 
 def compile_lexicon(df: DataFrame, text: str = "text", words: int = LEXICON_WORDS, tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k"):
-    """The ``words`` most frequent words of all texts as an automaton with their ids.
+    """The most frequent words of all texts, at most ``words``, as an automaton with their ids.
 
-    What comes to the driver is bounded by ``words``, whatever the corpus.  The
+    Words are taken down to the least power of two as count that keeps within
+    ``words``: the driver sees 64 sums and then those words, whatever the corpus.  The
     arrays go to the shared folder; where that is no mounted folder they are
     broadcast instead (a few MB).  Returns what ``encode`` takes as ``lexicon``.
     """
     spark = df.sparkSession
-    top = word_counts(df, text).orderBy(F.desc("n"), "word").limit(words).collect()
+    counts = checkpoint(word_counts(df, text))
+    level = F.floor(F.log2("n")).cast("int")
+    sums = {r["level"]: r["k"] for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect()}
+    held, least = 0, 64
+    for b in sorted(sums, reverse=True):
+        held += sums[b]
+        if held > words:
+            break
+        least = b
+    top = counts.filter(level >= least).select("word").collect()
     bpe = _merger(tokenizers, name)
     auto = build_transducer({r.word.encode(): bpe._encode_single_piece(r.word.encode()) for r in top})
     path = shared_path(spark, "lexicon")
