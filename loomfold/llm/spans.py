@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomfold.llm.arrays import U, chunks, code_points, prefix, sliding_min, stretch_hash, strings
 from loomfold.sources.shared import checkpoint, shared_path
@@ -27,6 +28,8 @@ SPAN = 160
 GRAM = 80
 #: Runs that are kept before they are compacted into one.
 FAN = 4
+#: A hash with more places than HOT in a run is met in SALTS parts, each by a task of its own.
+HOT, SALTS = 1_000, 64
 _PLACE = 22
 
 
@@ -81,13 +84,32 @@ class SpanIndex:
         self.spark = spark
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
+        self.hot: dict[str, DataFrame | None] = {}
 
     def _write(self, prints: DataFrame) -> str:
         name = f"loomfold_run_{uuid.uuid4().hex}"
         writer = prints.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h")
         writer.option("path", shared_path(self.spark, "run")).saveAsTable(name)
+        # a run is bucketed by hash: this moves no row
+        hot = checkpoint(self.spark.table(name).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("h"))
+        self.hot[name] = None if hot.isEmpty() else hot
         return name
 
+    def _join(self, new: str, old: str) -> DataFrame:
+        """Places of the same hash in both runs: a merge join of the runs as they lie, and for hot hashes one in parts."""
+        x, y = self.spark.table(new), self.spark.table(old)
+        hot = [h for h in {new: self.hot[new], old: self.hot[old]}.values() if h is not None]
+        sides = lambda a, b, on: a.select(F.struct("*").alias("x"), *on).join(b.select(F.struct("*").alias("y"), *on).hint("merge"), on).select("x", "y")
+        if not hot:
+            return sides(x, y, ["h"])
+        keys = hot[0] if len(hot) == 1 else hot[0].union(hot[1]).distinct()
+        calm = sides(x.join(keys, "h", "left_anti"), y.join(keys, "h", "left_anti"), ["h"])
+        part = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
+        few = x.join(keys, "h", "left_semi").withColumn("part", part)
+        all_ = y.join(keys, "h", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        busy = sides(few, all_, ["h", "part"]).select(*[F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("h", "doc", "pos", "before")]).alias(s) for s in "xy"])
+        return calm.select(*[F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("h", "doc", "pos", "before")]).alias(s) for s in "xy"]).unionByName(busy)
+
     def compact(self) -> None:
         """Makes one run of all.  The old ones stay until ``close``, as lazy results may read them."""
         if len(self.runs) > 1:
@@ -102,8 +124,7 @@ class SpanIndex:
         new = self._write(prints)
         met = None
         for old in [*self.runs, new]:
-            x, y = self.spark.table(new).alias("x"), self.spark.table(old).alias("y")
-            both = x.join(y.hint("merge"), F.col("x.h") == F.col("y.h")).filter(
+            both = self._join(new, old).filter(
                 (F.col("x.doc") < F.col("y.doc") if old == new else F.col("x.doc") != F.col("y.doc"))
                 & F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
             )
@@ -162,6 +183,39 @@ def verified(met: DataFrame, docs: DataFrame, key: str, text: str, span: int = S
     return pairs.select("a", "b", "la", "ra", "lb", "rb").mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}").distinct()
 
 
+def shared_stretches(met: DataFrame, docs: DataFrame, key: str, text: str, span: int = SPAN) -> DataFrame:
+    """``(doc, start, stop)`` of each text of ``met``: the whole common stretches of at least ``span`` characters over its meetings."""
+    seeds = checkpoint(met.distinct()).groupBy("a", "b").agg(F.collect_set(F.struct("pos_a", "pos_b")).alias("at"))
+    whole = docs.select(F.col(key).alias("doc"), F.col(text).alias("t"))
+    both = seeds.join(whole.withColumnsRenamed({"doc": "a", "t": "ta"}), "a").join(whole.withColumnsRenamed({"doc": "b", "t": "tb"}), "b")
+    kind = dict(met.dtypes)["a"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = set()
+            for a, b, at, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "at", "ta", "tb")), strict=True):
+                x, y = (np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in (ta, tb))
+                for shift in {p["pos_a"] - p["pos_b"] for p in at}:
+                    i, j = max(0, shift), max(0, -shift)
+                    n = min(len(x) - i, len(y) - j)
+                    breaks = np.flatnonzero(x[i : i + n] != y[j : j + n])
+                    edges = np.concatenate([[-1], breaks, [n]])
+                    for lo, hi in zip(edges[:-1] + 1, edges[1:], strict=True):
+                        if hi - lo >= span:
+                            rows |= {(a, i + int(lo), i + int(hi)), (b, j + int(lo), j + int(hi))}
+            cols = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["doc", "start", "stop"])
+
+    return both.select("a", "b", "at", "ta", "tb").mapInArrow(run, f"doc {kind}, start int, stop int").distinct()
+
+
+def _covered(stretches: DataFrame) -> DataFrame:
+    """``(doc, shared)``: the characters under the stretches of each text, overlaps once."""
+    w = Window.partitionBy("doc").orderBy("start", "stop")
+    before = F.coalesce(F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return stretches.select("doc", F.greatest(F.col("stop") - F.greatest("start", before), F.lit(0)).alias("n")).groupBy("doc").agg(F.sum("n").alias("shared"))
+
+
 def _classes(docs: DataFrame, key: str, text: str, span: int) -> DataFrame:
     """``(doc, rep)`` of the texts of at least ``span`` characters: ``rep`` is the least key of equal texts."""
     long = docs.filter(F.length(text) >= span).select(F.col(key).alias("doc"), F.unhex(F.sha2(text, 256)).alias("sign"))
@@ -169,13 +223,8 @@ def _classes(docs: DataFrame, key: str, text: str, span: int) -> DataFrame:
     return long.join(reps, "sign").select("doc", "rep")
 
 
-def shared_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, batches: int = 2) -> DataFrame:
-    """``(doc_a, doc_b)``, doc_a < doc_b: rows whose texts have a common stretch of at least ``span`` characters.
-
-    The rows enter the index in ``batches`` by key.  Equal texts are one class:
-    only its first row is indexed, and the pairs are carried over to all rows.
-    Null, empty and shorter texts share nothing.  Keys must be distinct.
-    """
+def _meet(docs: DataFrame, key: str, text: str, span: int, gram: int, batches: int) -> tuple[DataFrame, DataFrame]:
+    """The classes of equal texts, and where texts of different classes meet; the rows enter the index in ``batches`` by key."""
     classes = checkpoint(_classes(docs, key, text, span))
     copies = classes.filter("doc <> rep")
     index = SpanIndex(docs.sparkSession)
@@ -184,10 +233,34 @@ def shared_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
         batch = docs.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == i)
         part = index.add(fingerprints(batch, key, text, span, gram).join(copies.select("doc"), "doc", "left_anti").select("h", "doc", "pos", "before"))
         met = part if met is None else met.unionByName(part)
+    return classes, met
+
+
+def shared_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, batches: int = 2) -> DataFrame:
+    """``(doc_a, doc_b)``, doc_a < doc_b: rows whose texts have a common stretch of at least ``span`` characters.
+
+    Equal texts are one class: only its first row is indexed, and the pairs are
+    carried over to all rows.  Null, empty and shorter texts share nothing.
+    Keys must be distinct.
+    """
+    classes, met = _meet(docs, key, text, span, gram, batches)
     pairs = verified(met, docs, key, text, span, gram)
     left = classes.select(F.col("rep").alias("a"), F.col("doc").alias("doc_a"))
     right = classes.select(F.col("rep").alias("b"), F.col("doc").alias("doc_b"))
     across = pairs.join(left, "a").join(right, "b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"))
-    doubled = classes.join(copies.select("rep").distinct(), "rep", "left_semi")
+    doubled = classes.join(classes.filter("doc <> rep").select("rep").distinct(), "rep", "left_semi")
     inside = doubled.select("rep", F.col("doc").alias("doc_a")).join(doubled.select("rep", F.col("doc").alias("doc_b")), "rep").filter("doc_a < doc_b").select("doc_a", "doc_b")
     return across.unionByName(inside)
+
+
+def shared_amount(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, batches: int = 2) -> DataFrame:
+    """``(key, n_chars, shared_chars, share)`` for every row: how much of its text lies in stretches of at least ``span``
+    characters that another row has too.  A text that comes twice is shared as a whole; null and empty texts have 0 of 0."""
+    classes, met = _meet(docs, key, text, span, gram, batches)
+    own = _covered(shared_stretches(met, docs, key, text, span)).withColumnRenamed("doc", "rep")
+    twice = classes.groupBy("rep").agg((F.count("*") > 1).alias("twice"))
+    known = classes.join(own, "rep", "left").join(twice, "rep").select(F.col("doc").alias(key), "shared", "twice")
+    n = F.coalesce(F.length(text), F.lit(0))
+    every = docs.select(key, n.alias("n_chars")).join(known, key, "left")
+    shared = F.when(F.col("twice"), F.col("n_chars")).otherwise(F.coalesce("shared", F.lit(0))).cast("int")
+    return every.select(key, "n_chars", shared.alias("shared_chars")).withColumn("share", F.when(F.col("n_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 6)).otherwise(F.lit(0.0)))

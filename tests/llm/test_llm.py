@@ -110,7 +110,7 @@ def _longest(a, b):
     return best
 
 
-def test_shared_pairs_equal_brute_force(spark):
+def test_shared_pairs_equal_brute_force(spark, monkeypatch):
     r = random.Random(3)
     word = lambda n: "".join(r.choice("abcdกขคง ") for _ in range(n))
     passages = [word(n) for n in (39, 40, 41, 80, 60)]
@@ -121,6 +121,14 @@ def test_shared_pairs_equal_brute_force(spark):
     for batches in (1, 3, 5):
         got = [(x.doc_a, x.doc_b) for x in spans.shared_pairs(df, span=40, gram=20, batches=batches).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+    monkeypatch.setattr(spans, "HOT", 2)
+    monkeypatch.setattr(spans, "SALTS", 5)
+    assert {(x.doc_a, x.doc_b) for x in spans.shared_pairs(df, span=40, gram=20, batches=2).collect()} == want
+    amount = {r.doc_id: r.shared_chars for r in spans.shared_amount(df, span=40, gram=20).collect()}
+    for i, a in enumerate(texts):
+        other = {b[k : k + 40] for j, b in enumerate(texts) if j != i and b for k in range(len(b) - 39)}
+        hit = {p for k in range(len(a or "") - 39) if a[k : k + 40] in other for p in range(k, k + 40)}
+        assert amount[i] == len(hit)
 
 
 def test_every_span_has_a_fingerprint_at_the_same_place():
