@@ -188,3 +188,29 @@ def test_difference_and_upsert(spark):
     assert sorted(map(tuple, relational.difference_both_ways(a, b, "k", "old", "new").collect())) == [("new", "z"), ("old", "x")]
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k int, v string")
     assert {(r.k, r.v) for r in relational.first_per_group(rows, ["k"], [F.desc("v")]).collect()} == {(1, "b"), (None, "c")}
+
+
+def test_courses_and_requirements(spark):
+    from loomfold.operators import extraction
+
+    text_ = "ปีที่ 2 ภาคการศึกษาที่ 1\n06016101 โครงสร้างข้อมูล\nDATA STRUCTURES\n3(3-0-6)\nวิชาบังคับก่อน : 06016100 3(3-0-6)\n06016102 ไม่มีหน่วยกิต\nปีที่ 3 ภาคการศึกษาที่ 2\n06016103 ฐานข้อมูล DATABASE SYSTEMS 3 (2-2-5)"
+    rows = list(extraction.courses_in(text_))
+    assert [(r[1], r[2], r[3], r[4:8], r[8:]) for r in rows] == [("06016101", "โครงสร้างข้อมูล", "DATA STRUCTURES", (3, 3, 0, 6), (2, 1)), ("06016103", "ฐานข้อมูล", "DATABASE SYSTEMS", (3, 2, 2, 5), (3, 2))]
+    df = spark.createDataFrame([(1, text_), (2, None), (3, "วิชาบังคับก่อน 06016101"), (4, "06016105 วิชาบังคับก่อน ไม่มี")], "k long, t string")
+    got = {(r.key, r.code): (r.codes, r.raw) for r in extraction.requirement_rows(df, "k", "t").collect()}
+    assert got[(1, "06016101")][0] == ["06016100"] and got[(4, "06016105")] == ([], "ไม่มี") and not [k for k in got if k[0] in (2, 3)]
+
+
+def test_boxes_and_replacement(spark):
+    from loomfold.operators import extraction
+
+    box = lambda *v: F.struct(*[F.lit(float(x)).alias(n) for x, n in zip(v, ("x0", "y0", "x1", "y1"), strict=True)])
+    assert one(spark, extraction.intersection_over_union(box(0, 0, 2, 2), box(1, 0, 3, 2))) == pytest.approx(1 / 3)
+    assert one(spark, extraction.intersection_over_union(box(0, 0, 0, 0), box(0, 0, 0, 0))) == 0
+    df = spark.createDataFrame([("a" * 40, "b" * 61), ("a" * 41, "b" * 61), (None, "b" * 51), ("a", None)], "t string, s string")
+    assert [r.x[0] for r in df.select(extraction.replace_by_scan(df, "t", "s").alias("x")).collect()] == ["b", "a", "b", "a"]
+
+
+def test_keywords_and_topic(spark):
+    assert one(spark, retrieval.keywords(F.lit("BIT วิชา database อะไร database a"), F.lit("BIT"))) == ["database"]
+    assert one(spark, retrieval.topic(F.lit("มีวิชาอะไร database บ้าง?"))) == "database"
