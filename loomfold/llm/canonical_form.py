@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomfold.sources.shared import checkpoint
+
 #: Private-use marks of the books' fonts and the Thai marks they show.
 FONT_MARKS = {
     0xF700: 0x0E10, 0xF701: 0x0E34, 0xF702: 0x0E35, 0xF703: 0x0E36, 0xF704: 0x0E37,
@@ -48,6 +50,9 @@ _SIMPLE = (
     | {k: chr(v) for k, v in FONT_MARKS.items()}
 )
 _MARKS = re.compile("[ัิ-ฺ็-๎]{2,}")
+#: Runs of marks that are not in order already.
+_MISPLACED = re.compile("[่-๋][ัิ-ฺ็ํ]|[์๎][ัิ-ฺ็-๋ํ]|ํ[ัิ-ฺ็]|[ัิ-ฺ็]{2}|[่-๋]{2}|[์๎]{2}|ํํ")
+_OTHER = re.compile("[^\x00-\x7f\u0e00-\u0e7f]")
 _SPLIT_AM = re.compile("([่-๋]?)ํ([่-๋]?)า")
 _LINE_END = re.compile(r"[ \t]*\r?\n|\r")
 _LETTERS = re.compile("[A-Za-zÀ-ɏ̀-ͯͰ-ϿЀ-ԯ]+")
@@ -67,9 +72,15 @@ def plain_form(text: str) -> str:
     if text.isascii():
         t = text
     else:
-        t = unicodedata.normalize("NFC", text.translate(_SIMPLE)).replace("เเ", "แ")
-        t = _MARKS.sub(_order, t)
-        t = _SPLIT_AM.sub(r"\1\2ำ", t)
+        other = bool(_OTHER.search(text))
+        t = unicodedata.normalize("NFC", text.translate(_SIMPLE)) if other else text
+        t = t.replace("เเ", "แ")
+        if _MISPLACED.search(t):
+            t = _MARKS.sub(_order, t)
+        if "ํ" in t:
+            t = _SPLIT_AM.sub(r"\1\2ำ", t)
+        if other:
+            t = unicodedata.normalize("NFC", t)
     return _LINE_END.sub("\n", t).rstrip()
 
 
@@ -98,7 +109,7 @@ def vocabulary(rows: DataFrame) -> DataFrame:
         held: set[str] = set()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                held.update(w for w in _LETTERS.findall(plain_form(t)) if not _FOREIGN.search(w))
+                held.update(w for w in set(_LETTERS.findall(plain_form(t) if _OTHER.search(t) else t)) if w.isascii() or not _FOREIGN.search(w))
             if len(held) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], ["latin"])
                 held.clear()
@@ -142,7 +153,7 @@ def _signs(rows: DataFrame) -> DataFrame:
 def look_classes(rows: DataFrame) -> DataFrame:
     """``(src, id, look, stored, kept)``: rows look the same where ``look`` and ``kept`` are
     equal; ``kept`` holds the suspect words that the corpus does not know in Latin letters."""
-    signs = _signs(rows)
+    signs = checkpoint(_signs(rows))
     plain, odd = signs.filter("size(words) = 0"), signs.filter("size(words) > 0")
     none = F.array().cast("array<string>")
     known = odd.select("src", "id", F.explode("words").alias("word")).join(repairs_of(rows), "word", "left")
@@ -158,7 +169,7 @@ def same_look(rows: DataFrame) -> DataFrame:
     forms of one look are compared once each, then carried to their rows; rows of
     the same form never meet.
     """
-    classes = look_classes(rows)
+    classes = checkpoint(look_classes(rows))
     forms = classes.select("src", "look", "kept", "stored").distinct()
     pairs = forms.alias("x").join(forms.alias("y"), ["src", "look", "kept"]).filter("x.stored < y.stored").select("src", "look", "kept", F.col("x.stored").alias("s1"), F.col("y.stored").alias("s2"))
     ids = classes.select("src", "look", "kept", "stored", "id")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfold.llm.canonical_form import LOOK_ALIKES, plain_form
+from loomfold.llm.canonical_form import _OTHER, LOOK_ALIKES, plain_form
 
 #: Frequent words of running text in both languages.
 COMMON_ENGLISH = frozenset(
@@ -27,22 +27,24 @@ COMMON_ENGLISH = frozenset(
     .split()
 )
 COMMON_THAI = ("และ", "หรือ", "ของ", "ที่", "ใน", "การ", "ให้", "เป็น", "จาก", "โดย", "เพื่อ", "ซึ่ง", "ทั้ง", "อย่าง", "ได้", "ตาม", "หลังจาก", "รวมทั้ง", "ตลอดจน", "เมื่อ", "หาก", "สำหรับ")
+_COMMON_THAI = re.compile("|".join(COMMON_THAI))
 #: Words that join the parts of a sentence, which entries of lists do without.
 _JOINING = re.compile(
     r"\b(?:[Tt]he|[Tt]his|[Tt]hat|is|its|it|has|when|When|what|[Ee]very|[Ee]ach|[Aa]ny|some|both|one|least|of|to|To|[Ii]n|on|for|within|with)\b"
     "|โดย|หาก|ซึ่ง|ตลอดจน|รวมทั้ง|หลังจาก|เมื่อ|สำหรับ|ทั้งนี้|เพื่อ|(?<!ทั้งใน)และ"
 )
-#: Signs that set cells apart, as patterns on a stripped line.
+#: Signs that set cells apart: how often each stands in a stripped line.
 DELIMITERS = {
-    "tab": re.compile(r"\t"),
-    "bar": re.compile(r"[│┃|¦║]"),
-    "gap": re.compile(r"(?<=\S)[  ]{2,}(?=\S)"),
-    "comma": re.compile(r",(?! )"),
-    "semicolon": re.compile(r";"),
-    "slash": re.compile(r" / "),
-    "dot": re.compile(r" · "),
-    "caret": re.compile(r"[\^~]"),
+    "tab": lambda x: x.count("\t"),
+    "bar": lambda x: x.count("│") + x.count("|") + x.count("┃") + x.count("¦") + x.count("║"),
+    "gap": lambda x: len(_GAP.findall(x)) if "  " in x else 0,
+    "comma": lambda x: x.count(",") - x.count(", "),
+    "semicolon": lambda x: x.count(";"),
+    "slash": lambda x: x.count(" / "),
+    "dot": lambda x: x.count(" · "),
+    "caret": lambda x: x.count("^") + x.count("~"),
 }
+_GAP = re.compile(r"(?<=\S) {2,}(?=\S)")
 MIN_READABLE, MAX_ODD, MAX_RARE = 0.75, 0.4, 0.1
 _WORD = re.compile(r"[A-Za-z]+(?:[-'’][A-Za-z]+)*|[ก-๛]+|\d+")
 _RULE = re.compile(r"[\s─━═\-=_+|│┼├┤┬┴~*.]*")
@@ -60,32 +62,55 @@ CELL = 45
 ENTRY, WIDTH = 70, 130
 
 
-def readable_share(text: str) -> float:
-    """Share of the signs that are letters of either language, digits or ordinary
-    punctuation, where lines and leaders drawn of dots and dashes count for nothing."""
-    t = _CID.sub("￾￾￾", text)
-    t = re.sub(r"([.·…‥_\-=─━═│┃|+*])(?:\s?\1)+", "", t)
-    t = re.sub(r"[│┃|]", "", t)
-    solid = re.sub(r"\s+", "", t)
+def _kinds() -> np.ndarray:
+    """For each code point: 1 letter of either language or digit, 2 ordinary punctuation, 3 another Latin letter, 4 white space,
+    and 16 more for Thai letters, 32 more for those that running text hardly uses."""
+    table = np.zeros(0x110000, dtype=np.uint8)
+    table[[ord(c) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = 1
+    table[0x0E01:0x0E5C] = 1
+    table[[ord(c) for c in ".,;:()\"'“”/-"]] = 2
+    table[0xC0:0x250] = 3
+    table[[0xD7, 0xF7]] = 0
+    table[[c for c in range(0x3001) if chr(c).isspace()]] = 4
+    table[0x0E01:0x0E4F] += 16
+    table[[ord(c) for c in "ฃฅฆฌฎฏฐฑฒฬฝ"]] += 32
+    return table
+
+
+_KINDS = _kinds()
+_DRAWN = re.compile(r"([.·…‥_\-=─━═│┃|+*])(?:\s?\1)+")
+_BARS = str.maketrans("", "", "│┃|")
+_MANGLED = re.compile(r"à[¸¹]|[ÐØß÷×þðæ]{3}")
+
+
+def readable_share(text: str) -> tuple[float, float]:
+    """``(readable, rare)``: the share of the signs that are letters of either language, digits or (half) ordinary
+    punctuation, where lines and leaders drawn of dots and dashes count for nothing; and the share of the Thai letters
+    that running text hardly uses, 0 for fewer than thirty."""
+    t = _CID.sub("￾￾￾", text) if "(cid:" in text else text
+    t = _DRAWN.sub("", t).translate(_BARS) if not t.isalnum() and _DRAWN.search(t) else t.replace("|", "").replace("│", "")
+    kinds = _KINDS[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    n = np.bincount(kinds, minlength=64)
+    thai = int(n[17] + n[49])
+    rare = float(n[49] / thai) if thai >= 30 else 0.0
+    solid = len(kinds) - int(n[4])
     if not solid:
-        return 1.0 if text.strip() else 0.0
-    good = len(re.findall(r"[ก-๛A-Za-z0-9]", solid)) + len(re.findall(r"[À-ÖØ-öø-ɏ-]", solid)) * (not re.search(r"à[¸¹]|[ÐØß÷×þðæ]{3}", solid))
-    return (good + 0.5 * len(re.findall(r"[.,;:()\"'“”/\-]", solid))) / len(solid)
+        return (1.0 if text.strip() else 0.0), rare
+    good = n[1] + n[17] + n[49] + (n[3] if n[3] and not _MANGLED.search(t) else 0)
+    return float((good + 0.5 * n[2]) / solid), rare
+
+
+_ALNUM = re.compile(r"[A-Za-z0-9]{3,}")
+_HAS_VOWEL = re.compile("[aeiouyAEIOUY]")
 
 
 def odd_word_share(text: str) -> float:
     """Share of the words with Latin letters that mix letters and digits or have no vowel;
     0 for fewer than eight such words."""
-    words = [w for w in re.findall(r"[A-Za-z0-9]{3,}", text) if re.search("[A-Za-z]", w)]
+    words = [w for w in _ALNUM.findall(text) if not w.isdigit()]
     if len(words) < 8:
         return 0.0
-    return sum(bool(re.search(r"\d", w)) or not re.search("[aeiouyAEIOUY]", w) for w in words) / len(words)
-
-
-def rare_thai_share(text: str) -> float:
-    """Share of Thai letters that running text hardly uses; 0 for fewer than thirty Thai letters."""
-    thai = re.findall("[ก-๎]", text)
-    return len(re.findall("[ฃฅฆฌฎฏฐฑฒฬฝ]", text)) / len(thai) if len(thai) >= 30 else 0.0
+    return sum(not w.isalpha() or not _HAS_VOWEL.search(w) for w in words) / len(words)
 
 
 def body_lines(text: str) -> list[str]:
@@ -97,8 +122,11 @@ def _delimited(lines: list[str]) -> tuple[float, str]:
     """The delimiter that makes rows of three or more cells of most neighbouring lines, and its
     share of the lines: a row counts when a line beside it has about as many cells."""
     best = (0.0, "")
-    for name, rx in DELIMITERS.items():
-        cells = [len(rx.findall(x.strip().strip("|│¦"))) + 1 for x in lines]
+    bare = [x.strip().strip("|│¦") for x in lines]
+    for name, count in DELIMITERS.items():
+        cells = [count(x) + 1 for x in bare]
+        if max(cells) < 3:
+            continue
         cells = [c if len(x) <= CELL * c else 1 for c, x in zip(cells, lines, strict=True)]
         rows = sum(
             1 for i, c in enumerate(cells)
@@ -122,9 +150,12 @@ def _values(line: str) -> bool:
     return sum(value) >= 3 or sum(value) == 2 and len(parts) > 2 or sum(value) == 1 and not value[0] and not value[-1]
 
 
+_END = re.compile(r"[a-z][.!?] [A-Z]")
+
+
 def _running(s: str) -> bool:
     """Words that join the parts of a sentence, or a sentence's end within the line."""
-    return bool(_JOINING.search(s)) or bool(re.search(r"[a-z][.!?] [A-Z]", s))
+    return bool(_JOINING.search(s)) or bool(_END.search(s))
 
 
 def _entries(lines: list[str]) -> tuple[float, float]:
@@ -166,26 +197,27 @@ def measure(text: str) -> dict[str, float | int | str]:
     """All statistics of one whole text; see ``SCHEMA``.  The text is taken in its plain
     character form, so that look-alike letters count as the letters they show."""
     size = len(text)
-    text = plain_form(text).translate(_SHOWN)
+    if _OTHER.search(text):
+        text = plain_form(text).translate(_SHOWN)
     lines = body_lines(text)
     words = _WORD.findall(text)
-    solid = len(re.sub(r"\s+", "", text))
+    solid = len("".join(text.split()))
     letters = sum(map(len, words))
     latin = [w.lower() for w in words if w[0].isascii() and w[0].isalpha()]
     thai = [w for w in words if "ก" <= w[0] <= "๛"]
-    common = sum(w in COMMON_ENGLISH for w in latin) + sum(any(c in w for c in COMMON_THAI) for w in thai)
+    common = sum(w in COMMON_ENGLISH for w in latin) + sum(bool(_COMMON_THAI.search(w)) for w in thai)
     indents = [len(x) - len(x.lstrip()) for x in lines]
     table, sign = _delimited(lines) if lines else (0.0, "")
     listed, marked = _entries(lines)
     values = sum(map(_values, lines)) / len(lines) if lines else 0.0
-    readable = readable_share(text)
+    readable, rare = readable_share(text)
     out = {
         "n_chars": size, "n_words": len(words), "n_lines": len(lines),
         "mean_word_length": letters / len(words) if words else 0.0,
         "symbol_ratio": 1 - letters / solid if solid else 0.0,
         "stop_line_share": sum(bool(_STOP.search(x.strip())) for x in lines) / len(lines) if lines else 0.0,
         "common_word_share": common / max(1, len(latin) + len(thai)),
-        "readable_share": readable, "odd_word_share": odd_word_share(text), "rare_thai_share": rare_thai_share(text), "table_share": max(table, values), "delimiter": sign if table >= values else "space" if values else "",
+        "readable_share": readable, "odd_word_share": odd_word_share(text), "rare_thai_share": rare, "table_share": max(table, values), "delimiter": sign if table >= values else "space" if values else "",
         "list_share": listed, "marker_share": marked,
         "length_autocorrelation": autocorrelation([len(x) for x in lines]),
         "indent_period_share": Counter(indents).most_common(1)[0][1] / len(lines) if lines else 0.0,
