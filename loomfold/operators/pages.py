@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomfold.functions.thai import mark_class
+
 #: Weights and limits of the page score and route.
 WEIGHTS = (0.45, 0.20, 0.20, 0.15)
 FULL_CHARS, FULL_TERMS, DEEP_IMAGES, FAST_IMAGES = 1200, 12, 0.60, 0.30
@@ -163,8 +165,7 @@ def plan_context(text: Column) -> Column:
     return F.struct(one(years).alias("year"), one(terms).alias("semester"))
 
 
-#: Classes of Thai marks, in the order they follow their letter.
-_MARK_CLASS = {**dict.fromkeys("ัิีึืฺุู็", 1), "ํ": 2, **dict.fromkeys("่้๊๋", 3), **dict.fromkeys("์๎", 4)}
+_MARK_CLASS = {c: mark_class(c) for c in "ัิีึืฺุู็่้๊๋์ํ๎"}
 GLYPHS = "page_id long, codepoint string, x0 double, x1 double, baseline double, font_size double, ord int"
 
 

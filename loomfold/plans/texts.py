@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfold.functions import parsers, text
+from loomfold.functions import parsers, text, thai
 from loomfold.operators import pages, relational
 from loomfold.plans.registry import Registry
 from loomfold.sources.tables import table
@@ -160,3 +160,24 @@ def assembled_lines(spark: SparkSession, d: str) -> DataFrame:
         F.lit(16.0).alias("font_size"), (F.col("course_id") * 50 + F.col("i")).cast("int").alias("ord"),
     )
     return pages.assemble_lines(glyphs)
+
+
+@R.add("composed_names", "SELECT course_id, nfc_normalize(name_th) AS name FROM course WHERE name_th IS NOT NULL")
+def composed_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "course").filter("name_th IS NOT NULL").select("course_id", thai.composed("name_th").alias("name"))
+
+
+@R.add("thai_normal_text")
+def thai_normal_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "page").filter("page_text IS NOT NULL").select("page_id", thai.normal_text(F.col("page_text")).alias("text"))
+    return rows.select("page_id", "text", thai.violations(F.col("text")).alias("violations"))
+
+
+@R.add("font_mark_counts", "SELECT course_id, upper(lpad(to_hex(unicode(c)), 4, '0')) AS code_point, CAST(count(*) AS BIGINT) AS n FROM (SELECT course_id, unnest(regexp_extract_all(name_th, '[\\x{F700}\\x{F704}\\x{F707}\\x{F708}\\x{F70D}\\x{F70F}\\x{F711}\\x{F714}-\\x{F71A}]')) AS c FROM course) GROUP BY 1, 2")
+def font_mark_counts(spark: SparkSession, d: str) -> DataFrame:
+    return thai.unmapped_font_marks(table(spark, d, "course"), "course_id", "name_th")
+
+
+@R.add("sign_counts", "SELECT course_id, sign, CAST(count(*) AS BIGINT) AS n FROM (SELECT course_id, unnest(regexp_extract_all(regexp_replace(name_en, '\\s', '', 'g'), '[\\x{00}-\\x{10FFFF}]')) AS sign FROM course WHERE name_en IS NOT NULL) GROUP BY 1, 2")
+def sign_counts(spark: SparkSession, d: str) -> DataFrame:
+    return thai.sign_counts(table(spark, d, "course").filter("name_en IS NOT NULL"), "course_id", "name_en")

@@ -214,3 +214,21 @@ def test_boxes_and_replacement(spark):
 def test_keywords_and_topic(spark):
     assert one(spark, retrieval.keywords(F.lit("BIT วิชา database อะไร database a"), F.lit("BIT"))) == ["database"]
     assert one(spark, retrieval.topic(F.lit("มีวิชาอะไร database บ้าง?"))) == "database"
+
+
+def test_thai_normal_form(spark):
+    from loomfold.functions import thai
+
+    cases = {"ป\uf702ที\uf70aหนึ่ง": "ปีที่หนึ่ง", "ก  ่า": "ก่า", "ก่ี": "กี่", "คงอยู่ และ": "คงอยู่ และ", "Cafe\u0301": "Café", "": ""}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)] + [(99, None)], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", thai.normal_text(F.col("t")).alias("x")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values()) and got[99] is None
+
+
+@given(st.text(st.sampled_from(list("กขัิ่้์ํ า")), max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_order_of_marks_keeps_all_signs(s):
+    from loomfold.functions import thai
+
+    once = thai.ordered(s)
+    assert sorted(once) == sorted(s) and thai.ordered(once) == once
