@@ -131,7 +131,9 @@ def ancestors(edges: DataFrame, fragment: int = FRAGMENT, rounds: int = 24) -> D
 
 def _ancestors(edges: DataFrame, fragment: int, rounds: int, depth: int) -> DataFrame:
     spread = _fragments(edges, fragment, depth)
-    parted = spread.repartition(F.col("grp"), F.col("frag")).sortWithinPartitions("grp", "frag")
+    # a number keeps the optimizer from making one task of them: few links may make many pairs
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = spread.repartition(tasks, "grp", "frag").sortWithinPartitions("grp", "frag")
     local = parted.select("grp", "frag", "parts", "node", "parent", "hops").mapInPandas(_local, _PAIRS)
     large = checkpoint(spread.filter(F.col("parts") > 1))
     if large.isEmpty():
