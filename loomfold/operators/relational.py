@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomfold.sources.shared import checkpoint
+
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each group in a full order; nulls of a key form a group."""
@@ -66,9 +68,11 @@ def running_quota(df: DataFrame, eligible: Column, order: Sequence[str], budget:
 
     The order is global, yet no task holds all rows: rows are range-partitioned,
     the eligible rows of each part are counted, and every part starts from the
-    sum of the parts before it.
+    sum of the parts before it.  The parts are written once, as the ranges of a
+    second evaluation need not be the same.
     """
-    ranged = df.withColumn("_e", eligible.cast("int")).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpoint(df.withColumn("_e", F.coalesce(eligible.cast("int"), F.lit(0))).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     sums = ranged.groupBy("_part").agg(F.sum("_e").alias("_n"))
     # one row for each partition
     before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")

@@ -76,8 +76,8 @@ _Q = "q AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
 
 
 def _dense(spark: SparkSession, d: str) -> DataFrame:
-    # the query is one row
-    rows = table(spark, d, "embeddings").join(F.broadcast(_query_vector(spark, d)))
+    # the query is one value: a subquery, no join
+    rows = table(spark, d, "embeddings").withColumn("q", _query_vector(spark, d).scalar())
     return retrieval.dense_scores(rows, "vec_id", "embedding", F.col("q"))
 
 
@@ -99,8 +99,8 @@ def dense_relative_threshold(spark: SparkSession, d: str) -> DataFrame:
 def maxsim_rerank(spark: SparkSession, d: str) -> DataFrame:
     cut = F.array(*[F.slice("embedding", 1 + 16 * i, 16) for i in range(4)])
     tokens = table(spark, d, "embeddings").select("vec_id", cut.alias("toks"))
-    query = tokens.groupBy().agg(F.min_by("toks", "vec_id").alias("qt"))
-    return tokens.join(F.broadcast(query)).select("vec_id", F.round(retrieval.maxsim(F.col("qt"), F.col("toks")), 5).alias("score"))
+    query = tokens.groupBy().agg(F.min_by("toks", "vec_id")).scalar()
+    return tokens.withColumn("qt", query).select("vec_id", F.round(retrieval.maxsim(F.col("qt"), F.col("toks")), 5).alias("score"))
 
 
 @R.add(
