@@ -66,7 +66,7 @@ def text_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("code_extraction", "SELECT doc_id, code, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[0-9A-Za-z_ก-ฮ]*[A-Za-z_ก-ฮะาำเแโใไๅๆ๐-๙][0-9A-Za-z_ก-ฮะาำเแโใไๅๆ๐-๙]*', ' ', 'g'), '[0-9]+')) AS code FROM documents WHERE regexp_full_match(text, '[\\x{00}-\\x{7F}]*')) WHERE length(code) = 8 GROUP BY doc_id, code")
 def code_extraction(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({text.CODE})"), F.lit(1))).alias("code"))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({text.CODE})"), F.lit(1))).alias("code"))
     return rows.groupBy("doc_id", "code").agg(F.count("*").alias("n"))
 
 
