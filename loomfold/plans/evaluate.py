@@ -51,7 +51,7 @@ def citations_issued(spark: SparkSession, d: str) -> DataFrame:
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     """Answers made of the chunks of a page, each cited; every seventh citation was never issued."""
     n = F.format_string("cite-%03d", F.pmod("chunk_id", F.lit(900)) + 1)
-    rows = table(spark, d, "chunk").filter("document_id IS NOT NULL").select("document_id", "page_start", "chunk_id", n.alias("c"), F.concat(F.coalesce(F.substring("content_text", 1, 200), F.lit("")), F.lit(" ["), n, F.lit("].")).alias("line"))
+    rows = table(spark, d, "chunk").filter("document_id IS NOT NULL").select("document_id", "page_start", "chunk_id", n.alias("c"), F.concat(F.coalesce("content_text", F.lit("")), F.lit(" ["), n, F.lit("].")).alias("line"))
     grouped = rows.groupBy("document_id", "page_start").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "line", "c"))).alias("l"))
     return grouped.select(
         F.concat_ws("/", "document_id", F.col("page_start").cast("string")).alias("request_id"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("answer"),

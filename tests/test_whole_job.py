@@ -25,3 +25,11 @@ def test_code_extraction_keeps_thai_texts(spark, tmp_path):
 def test_question_year_keeps_number_words(spark, tmp_path):
     d = save(spark, tmp_path, "documents", [(1, "ปีที่สอง"), (2, "ปีสาม"), (3, "ปี 4 ไม่ใช่ปีหนึ่ง"), (4, "ไม่มี"), (5, None)], "doc_id long, text string")
     assert {tuple(r) for r in Q["question_year"](spark, d).select("doc_id", "year").collect()} == {(1, 2), (2, 3), (3, 4), (4, None)}
+
+
+def test_answers_hold_whole_chunks(spark, tmp_path):
+    late = "x" * 200 + " ends here. This is a late claim without a source. Another is cited [cite-002]. A third one is not"
+    d = save(spark, tmp_path, "chunk", [(1, "d", 1, late), (2, "d", 1, None)], "chunk_id long, document_id string, page_start int, content_text string")
+    r = Q["citations_validate"](spark, d).first()
+    assert r.request_id == "d/1" and (r.passed, r.removed, r.unsupported) == (3, 0, 2) and "late claim" in r.validated and "A third one is not [cite-002]." in r.validated
+    assert tuple(Q["unsupported_rate"](spark, d).select("unsupported", "claims").first()) == (2, 5)
