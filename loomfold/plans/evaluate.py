@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomfold.functions import thai
 from loomfold.functions.text import question_key
 from loomfold.operators import answers, evaluation
 from loomfold.operators.relational import cap_per_group
@@ -94,7 +95,7 @@ def question_keys(spark: SparkSession, d: str) -> DataFrame:
     SELECT a.region_id, round(CASE WHEN length(b.t) = 0 THEN 0.0 ELSE levenshtein(a.t, b.t) / length(b.t) END, 6) AS cer FROM a JOIN b ON a.region_id = b.region_id""".replace("substring(text, 1, 4000)", "text"),
 )
 def cer_eval(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "stage_result").filter("text IS NOT NULL").select("region_id", "stage_index", F.regexp_replace("text", r"[^\x20-\x7E]", "").alias("t"))
+    rows = table(spark, d, "stage_result").filter("text IS NOT NULL").select("region_id", "stage_index", thai.composed("text").alias("t"))
     one = lambda i, n: rows.filter(F.col("stage_index") == i).groupBy("region_id").agg(F.min("t").alias(n))
     return one(1, "a").join(one(2, "b"), "region_id").select("region_id", F.round(evaluation.character_error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 from loomfold.plans import core
@@ -33,3 +34,20 @@ def test_answers_hold_whole_chunks(spark, tmp_path):
     r = Q["citations_validate"](spark, d).first()
     assert r.request_id == "d/1" and (r.passed, r.removed, r.unsupported) == (3, 0, 2) and "late claim" in r.validated and "A third one is not [cite-002]." in r.validated
     assert tuple(Q["unsupported_rate"](spark, d).select("unsupported", "claims").first()) == (2, 5)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_cer_counts_thai_characters(spark, tmp_path):
+    pairs = [("กาแฟ", "กาแก"), ("วิชา 1\n2", "วิชา 12"), ("cafe\u0301", "caf\u00e9"), ("x😀", "xy"), ("กข", ""), ("abc", "abd"), ("ที่", "ที")]
+    d = save(spark, tmp_path, "stage_result", [(i, s + 1, t) for i, p in enumerate(pairs) for s, t in enumerate(p)] + [(99, 1, "x"), (98, 2, None)], "region_id long, stage_index int, text string")
+    nfc = [[unicodedata.normalize("NFC", t) for t in p] for p in pairs]
+    want = {i: round(distance(a, b) / len(b), 6) if b else 0.0 for i, (a, b) in enumerate(nfc)}
+    assert {r.region_id: r.cer for r in Q["cer_eval"](spark, d).collect()} == want and want[0] == 0.25 and want[2] == 0
