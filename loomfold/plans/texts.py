@@ -12,7 +12,7 @@ from loomfold.sources.tables import table
 
 R = Registry()
 #: Characters of a readable page.
-DECLARED = r"ก-๛A-Za-z0-9.,;:!?()\[\]{}\"'“”‘’/\\\-–—+=*&%#@_<>|•·"
+DECLARED = r"\u0E00-\u0E7FA-Za-z0-9.,;:!?()\[\]{}<>/\\\-–—_'\"“”‘’%&*+=@#$^~|`"
 _DECLARED_SQL = "[^ก-๛A-Za-z0-9.,;:!?()\\[\\]{}\"'“”‘’/\\\\\\-–—+=*&%#@_<>|•·]"
 
 
@@ -28,8 +28,10 @@ def _terms(spark: SparkSession, d: str) -> list[str]:
 )
 def page_quality_score(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("page_text")
-    rows = table(spark, d, "page").filter("page_text IS NOT NULL").select("page_id", F.length(c).alias("n"), text.out_of_charset(c, "ก-๛A-Za-z0-9").alias("o"), text.term_count(c, _terms(spark, d)).cast("long").alias("terms"))
-    return rows.select("page_id", "terms", F.round(pages.page_score(F.col("n"), F.col("o"), F.lit(0.0), F.col("terms")), 6).alias("score"))
+    images = table(spark, d, "page_metrics").groupBy("page_id").agg(F.max("image_area_ratio").alias("i"))
+    rows = table(spark, d, "page").filter("page_text IS NOT NULL").select("page_id", F.length(c).alias("n"), text.out_of_charset(c, DECLARED).alias("o"), text.term_count(c, _terms(spark, d)).cast("long").alias("terms"))
+    i = F.coalesce("i", F.lit(0.0))
+    return rows.join(images, "page_id", "left").select("page_id", "terms", F.round(pages.page_score(F.col("n"), F.col("o"), i, F.col("terms")), 6).alias("score"))
 
 
 @R.add(

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 from collections import Counter
 
+import pytest
+
 from loomfold.plans import core
 
 Q = core.queries()
@@ -51,3 +54,21 @@ def test_cer_counts_thai_characters(spark, tmp_path):
     nfc = [[unicodedata.normalize("NFC", t) for t in p] for p in pairs]
     want = {i: round(distance(a, b) / len(b), 6) if b else 0.0 for i, (a, b) in enumerate(nfc)}
     assert {r.region_id: r.cer for r in Q["cer_eval"](spark, d).collect()} == want and want[0] == 0.25 and want[2] == 0
+
+
+def test_page_quality_takes_images_and_punctuation(spark, tmp_path):
+    declared = {chr(x) for x in range(0xE00, 0xE80)} | set(string.ascii_letters + string.digits + ".,;:!?()[]{}<>/\\-–—_'\"“”‘’%&*+=@#$^~|`")
+    texts = ["".join(sorted(declared)), "วิชา [1] – a^b~$c`d\\e", "•·é中 x", "", None, "ab", "ab"]
+    images = {0: [0.25], 1: [0.1, 0.7], 3: [1.0], 5: [None]}
+    d = save(spark, tmp_path, "page", list(enumerate(texts)), "page_id long, page_text string")
+    save(spark, tmp_path, "page_metrics", [(p, x) for p, many in images.items() for x in many], "page_id long, image_area_ratio double")
+    save(spark, tmp_path, "lexicon_term", [(1, "วิชา")], "term_id long, term string")
+    want = {}
+    for p, t in enumerate(texts):
+        if t is not None:
+            solid = [c for c in t if not c.isspace()]
+            foreign = sum(c not in declared for c in solid) / len(solid) if solid else 0.0
+            image = max((x for x in images.get(p, []) if x is not None), default=0.0)
+            want[p] = round(0.45 * min(len(t) / 1200, 1) + 0.2 * (1 - foreign) + 0.2 * (1 - image) + 0.15 * min(t.count("วิชา") / 12, 1), 6)
+    got = {r.page_id: r.score for r in Q["page_quality_score"](spark, d).collect()}
+    assert got == pytest.approx(want, abs=2e-6)
