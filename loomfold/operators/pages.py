@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -172,27 +173,27 @@ GLYPHS = "page_id long, codepoint string, x0 double, x1 double, baseline double,
 def _lines(page: pd.DataFrame) -> pd.DataFrame:
     """Lines of one page from its glyphs: a mark goes to the nearest letter of its line, letters go by place."""
     page = page.sort_values("ord", kind="stable")
-    mark = page.codepoint.isin(_MARK_CLASS) & (page.x1 - page.x0 <= 0.5)
-    base = page[~mark].reset_index(drop=True)
-    if base.empty:
+    mark = (page.codepoint.isin(_MARK_CLASS) & (page.x1 - page.x0 <= 0.5)).to_numpy()
+    letters = page[~mark]
+    if letters.empty:
         return pd.DataFrame({"page_id": [], "line": [], "text": []})
+    x0, baseline, size, order = (letters[c].to_numpy() for c in ("x0", "baseline", "font_size", "ord"))
+    solid = np.array([c.strip() != "" for c in letters.codepoint])
     hung: dict[int, list[tuple[int, int, str]]] = {}
-    for m in page[mark].itertuples():
-        near = base[(abs(base.baseline - m.baseline) <= 0.2 * base.font_size) & (abs(base.x0 - m.x0) <= 1.5 * base.font_size) & (base.codepoint.str.strip() != "")]
+    for c, x, b, o in page.loc[mark, ["codepoint", "x0", "baseline", "ord"]].itertuples(index=False, name=None):
+        near = np.flatnonzero((abs(baseline - b) <= 0.2 * size) & (abs(x0 - x) <= 1.5 * size) & solid)
         if len(near):
-            at = min(zip(abs(near.x0 - m.x0), near.x0, near.ord, near.index, strict=True))[3]
-            hung.setdefault(at, []).append((_MARK_CLASS[m.codepoint], m.ord, m.codepoint))
-    base["text"] = [c + "".join(x[2] for x in sorted(hung.get(i, []))) for i, c in enumerate(base.codepoint)]
-    base = base.sort_values(["baseline", "x0", "ord"], kind="stable")
-    line, anchor, lines = -1, None, []
-    for b, size in zip(base.baseline, base.font_size, strict=True):
-        if anchor is None or abs(b - anchor) > 0.5 * size:
-            line, anchor = line + 1, b
-        lines.append(line)
-    base["line"] = lines
-    out = base.sort_values(["line", "x0", "ord"], kind="stable").groupby("line").text.agg("".join).reset_index()
-    out = out[out.text.str.strip() != ""].reset_index(drop=True)
-    return pd.DataFrame({"page_id": int(page.page_id.iloc[0]), "line": out.index.astype("int32"), "text": out.text})
+            hung.setdefault(min(near, key=lambda k, x=x: (abs(x0[k] - x), x0[k], order[k], k)), []).append((_MARK_CLASS[c], o, c))
+    text = [c + "".join(x[2] for x in sorted(hung.get(i, []))) for i, c in enumerate(letters.codepoint)]
+    anchor, lines = None, []
+    for i in np.lexsort((order, x0, baseline)):
+        if anchor is None or abs(baseline[i] - anchor) > 0.5 * size[i]:
+            anchor = baseline[i]
+            lines.append([])
+        lines[-1].append(i)
+    out = ["".join(text[i] for i in sorted(at, key=lambda i: (x0[i], order[i]))) for at in lines]
+    out = [t for t in out if t.strip()]
+    return pd.DataFrame({"page_id": int(page.page_id.iloc[0]), "line": np.arange(len(out), dtype="int32"), "text": out})
 
 
 def assemble_lines(glyphs: DataFrame) -> DataFrame:

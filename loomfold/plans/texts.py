@@ -154,12 +154,12 @@ def heading_segments(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("assembled_lines")
 def assembled_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Glyphs laid out from the codes of the courses: eight to a line, one line to a course of a version."""
-    rows = table(spark, d, "course").filter("name_th IS NOT NULL").select(F.col("version_id").cast("long").alias("page_id"), "course_id", F.posexplode(F.split(F.substring("name_th", 1, 40), "")).alias("i", "codepoint"))
+    """Glyphs laid out from the whole names of the courses: twenty courses are a page, so no page grows with the table."""
+    rows = table(spark, d, "course").filter("name_th IS NOT NULL").select(F.expr("course_id div 20").alias("page_id"), (F.col("course_id") % 20).alias("at"), F.posexplode(F.split("name_th", "")).alias("i", "codepoint"))
     zero = F.col("codepoint").rlike("[ัิ-ฺ็-๎]")
     glyphs = rows.filter("codepoint <> ''").select(
-        "page_id", "codepoint", (F.col("i") * 8.0).alias("x0"), (F.col("i") * 8.0 + F.when(zero, 0.0).otherwise(8.0)).alias("x1"), (F.col("course_id") * 20.0).alias("baseline"),
-        F.lit(16.0).alias("font_size"), (F.col("course_id") * 50 + F.col("i")).cast("int").alias("ord"),
+        "page_id", "codepoint", (F.col("i") * 8.0).alias("x0"), (F.col("i") * 8.0 + F.when(zero, 0.0).otherwise(8.0)).alias("x1"), (F.col("at") * 20.0).alias("baseline"),
+        F.lit(16.0).alias("font_size"), (F.col("at") * 100000 + F.col("i")).cast("int").alias("ord"),
     )
     return pages.assemble_lines(glyphs)
 

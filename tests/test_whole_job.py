@@ -72,3 +72,10 @@ def test_page_quality_takes_images_and_punctuation(spark, tmp_path):
             want[p] = round(0.45 * min(len(t) / 1200, 1) + 0.2 * (1 - foreign) + 0.2 * (1 - image) + 0.15 * min(t.count("วิชา") / 12, 1), 6)
     got = {r.page_id: r.score for r in Q["page_quality_score"](spark, d).collect()}
     assert got == pytest.approx(want, abs=2e-6)
+
+
+def test_assembled_lines_hold_whole_names(spark, tmp_path):
+    names = ["ก" * 39 + "ขคงจ" * 10, "abc def " * 12 + "z", "กีกา", " ", None]
+    d = save(spark, tmp_path, "course", [(i, 1, n) for i, n in enumerate(names * 9)], "course_id long, version_id long, name_th string")
+    got = [(r.page_id, r.text) for r in Q["assembled_lines"](spark, d).orderBy("page_id", "line").collect()]
+    assert got == [(i // 20, n) for i, n in enumerate(names * 9) if n and n.strip()]
