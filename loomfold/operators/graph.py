@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomfold.operators.hierarchy import ancestors
 from loomfold.sources.shared import checkpoint
 
 
@@ -23,31 +24,19 @@ def cycle_members(pairs: DataFrame) -> DataFrame:
 def chain_order(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(grp, node, level, ord)``: every node after all it requires; nodes on or behind a cycle do not come out.
 
-    ``level`` is the length of the longest chain below a node, found by peeling
-    off nodes whose requirements are all placed; ``ord`` counts within the
-    group by level and name.  A round is one join, and there are as many as the
-    longest chain has links.
+    ``level`` is the length of the longest chain below a node, by the same
+    contraction as the closure, with the longest ways; ``ord`` counts within the
+    group by level and name.
     """
     nodes = edges.select("grp", "node").union(edges.select("grp", F.col("parent").alias("node"))).distinct()
     on_cycle = cycle_nodes(pairs).select("grp", F.col("node").alias("anc"))
-    doomed = pairs.join(on_cycle, ["grp", "anc"], "left_semi").select("grp", "node").distinct()
+    doomed = checkpoint(pairs.join(on_cycle, ["grp", "anc"], "left_semi").select("grp", "node").distinct())
+    far = ancestors(edges.join(doomed, ["grp", "node"], "left_anti"), longest=True).groupBy("grp", "node").agg(F.max("hops").alias("level"))
     clean = nodes.join(doomed, ["grp", "node"], "left_anti")
-    levels = clean.join(_levels(edges.join(doomed, ["grp", "node"], "left_anti")), ["grp", "node"], "left").select("grp", "node", F.coalesce("level", F.lit(0)).alias("level"))
+    levels = clean.join(far, ["grp", "node"], "left").select("grp", "node", F.coalesce("level", F.lit(0)).alias("level"))
     return levels.withColumn("ord", F.row_number().over(Window.partitionBy("grp").orderBy("level", "node")) - 1)
 
 
-def _levels(edges: DataFrame) -> DataFrame:
-    """``(grp, node, level)`` of the nodes with requirements, by rounds of longest distances."""
-    edges = checkpoint(edges.select("grp", "node", "parent"))
-    found = checkpoint(edges.select("grp", "node").distinct().withColumn("level", F.lit(1)))
-    front, step = found, 1
-    while not front.isEmpty():
-        step += 1
-        front = checkpoint(edges.join(front.select("grp", F.col("node").alias("parent")), ["grp", "parent"], "left_semi").select("grp", "node").distinct().withColumn("level", F.lit(step)))
-        found = found.unionByName(front)
-    return found.groupBy("grp", "node").agg(F.max("level").alias("level"))
-
-
 def rule_holds(actual: Column, comparator: Column, value: Column) -> Column:
     """Whether a value meets a rule; null or non-numeric values do not.  ``in`` takes a list separated by commas."""
     a, v = actual.try_cast("double"), value.try_cast("double")

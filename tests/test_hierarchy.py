@@ -5,7 +5,7 @@ import random
 import pytest
 
 from loomfold.operators import graph
-from loomfold.operators.hierarchy import ancestors, hierarchy, links, paths
+from loomfold.operators.hierarchy import ancestors, contract, hierarchy, links, paths
 
 
 def brute(edges):
@@ -54,3 +54,63 @@ def test_hierarchy_paths_and_cycles(spark):
 def test_no_links(spark):
     e = spark.createDataFrame([], "grp string, node string, parent string")
     assert ancestors(e).count() == 0
+
+
+def _shapes():
+    r = random.Random(7)
+    chain = {(f"c{i}", f"c{i + 1}") for i in range(700)}
+    tree = {(f"t{i}", f"t{(i - 1) // 3}") for i in range(1, 800)}
+    star = {(f"s{i}", "s") for i in range(700)} | {("s", "z")}
+    fan = {("f", f"p{i}") for i in range(400)} | {(f"p{i}", "q") for i in range(400)}
+    ring = {(f"r{i}", f"r{(i + 1) % 300}") for i in range(300)}
+    woven = {(f"w{i}", f"w{r.randrange(i)}") for i in range(1, 300) for _ in range(3)}
+    return {"chain": chain, "tree": tree, "star": star, "fan": fan, "ring": ring, "woven": woven}
+
+
+@pytest.mark.parametrize("limit", [64, 256])
+def test_closure_of_shapes_through_the_quotient(spark, limit):
+    shapes = _shapes()
+    df = spark.createDataFrame([(g, a, b) for g, es in shapes.items() for a, b in es], "grp string, node string, parent string")
+    got = {(x.grp, x.node, x.anc): x.hops for x in ancestors(df, limit).collect()}
+    assert got == {(g, *k): v for g, es in shapes.items() for k, v in brute(es).items()}
+
+
+@pytest.mark.parametrize("limit", [64, 256])
+def test_a_long_chain_and_a_broad_tree_shrink(spark, limit):
+    n = 100_000
+    chain = spark.range(n).selectExpr("'chain' AS grp", "concat('c', id) AS node", "concat('c', id + 1) AS parent", "1 AS hops")
+    tree = spark.range(1, n).selectExpr("'tree' AS grp", "concat('t', id) AS node", "concat('t', (id - 1) DIV 50) AS parent", "1 AS hops")
+    c = contract(chain.union(tree), limit)
+    left = {r.grp: r["count"] for r in c.quotient.groupBy("grp").count().collect()}
+    assert 0 < left["chain"] < 0.2 * n and 0 < left["tree"] < 0.1 * n
+    assert c.small.count() == 0
+
+
+def test_longest_ways(spark):
+    r = random.Random(3)
+    edges = {(f"w{i}", f"w{r.randrange(i)}") for i in range(1, 200) for _ in range(2)}
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    far: dict = {}
+    for i in range(200):
+        a = f"w{i}"
+        far[a] = {}
+        for b in out.get(a, ()):
+            for c, d in {b: 0, **far[b]}.items():
+                far[a][c] = max(far[a].get(c, 0), d + 1)
+    df = spark.createDataFrame([("g", a, b) for a, b in edges], "grp string, node string, parent string")
+    assert {(x.node, x.anc): x.hops for x in ancestors(df, 64, longest=True).collect()} == {(a, b): d for a, m in far.items() for b, d in m.items()}
+
+
+def test_paths_of_a_long_chain_and_a_tree(spark):
+    edges = [("chain", f"c{i}", f"c{i + 1}") for i in range(900)] + [("tree", f"t{i}", f"t{(i - 1) // 2}") for i in range(1, 900)]
+    e = spark.createDataFrame(edges, "grp string, node string, parent string")
+    n = e.select("grp", "node").union(e.select("grp", "parent")).distinct()
+    h = {r.node: r for r in paths(hierarchy(e, n, ancestors(e, 100)), 100).collect()}
+    up = {a: b for _, a, b in edges}
+    for a, r in h.items():
+        way = [a]
+        while way[-1] in up:
+            way.append(up[way[-1]])
+        assert (r.path, r.depth, r.root) == (way, len(way) - 1, way[-1])
