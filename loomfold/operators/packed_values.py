@@ -1,9 +1,10 @@
 """Several values packed in one field: one row per value with its position.
 
-The cell is split on its quote characters.  Odd pieces are literals; even
-pieces are cut by delimiters, codes, credits and brackets; a fold over the
-array of all parts puts the values together again, in order.  Everything is
-built-in SQL, so a row never leaves the JVM and nothing is shuffled.
+The cell is split at its quotes, and at codes, credits and brackets, which stand
+for themselves as quoted texts do.  Odd pieces are literals; even pieces are cut
+at delimiters; folding the array of pieces into one text again shows what stands
+between two literals, and the cuts in it give the values with their ordinals.
+Everything is built-in SQL, so a row never leaves the JVM and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -26,82 +27,70 @@ JOINER = r"หรือ|และ|กับ|(?<![A-Za-z])(?i:or|and)(?![A-Za-z])
 QUOTED = r'"(?:[^"]|"")*"|“[^”]*”|„[^”“]*[”“]|«[^»]*»|‘[^’]*’|(?<![A-Za-z\p{N}])\'[^\'\r\n]*\'(?![A-Za-z\p{N}])'
 BULLET = r"(?:(?<=[\r\n;|])|(?<![\s\S]))[ \t ]*(?:\(?(?:\d{1,2}|[๐-๙]{1,2})[.)](?=[ \t ]|[\"“'‘(]|\d{8}|\d{5}[xX]{3})|[-–•*·▪●‣](?=[ \t ]))"
 
-_NOT_REMARK = rf"\((?=[ \t(\[]*(?:[\"“„«‘']|(?:\d{{8}}|\d{{5}}[xX]{{3}})(?![A-Za-z\p{{N}}])|\d{{1,2}}[ \t]*\(\d))"
-#: One alternative per kind of part; the first that matches wins.
-PART = "|".join(
+_GROUPING = rf"\((?=[ \t(\[]*(?:[\"“„«‘']|(?:\d{{8}}|\d{{5}}[xX]{{3}})(?![A-Za-z\p{{N}}])|\d{{1,2}}[ \t]*\(\d))"
+#: A word of letters and digits goes before; a Thai joining word may stand between.
+_FRESH = r"(?:(?<![\p{L}\p{M}\p{N}])|(?<=หรือ)|(?<=และ))"
+#: What stands as it is: quoted texts, codes, credits, and brackets that do not group codes.
+LITERAL = "|".join(
     [
-        BULLET,
-        rf"(?:{QUOTED})(?:(?<=[\"”»’'])[ \t]*(?!{_NOT_REMARK})(?:\([^()\[\]\r\n]*\)|\[[^()\[\]\r\n]*\]))?",
-        rf"{CODE}(?:{REMARK})?",
-        CREDITS,
-        r"[\r\n;；|｜]+",
-        _NOT_REMARK,
-        r"\([^()\r\n]*\)|\[[^\[\]\r\n]*\]",
-        JOINER,
-        r"[ \t 　]+",
-        r"[,，、/\\·&+)(\]\[]",
-        r"[\p{L}\p{M}\p{N}]+?(?=หรือ|และ|$|[^\p{L}\p{M}\p{N}])|[\s\S]",
+        rf"(?:{QUOTED})(?:(?<=[\"”»’'])[ \t]*(?!{_GROUPING})(?:\([^()\[\]\r\n]*\)|\[[^()\[\]\r\n]*\]))?",
+        rf"{_FRESH}{CODE}(?:{REMARK})?",
+        rf"{_FRESH}{CREDITS}",
+        rf"(?!{_GROUPING})\([^()\r\n]*\)|\[[^\[\]\r\n]*\]",
     ]
 )
-_PURE = rf"(?s)^(?:[\s 　,，、/\\·&+()\[\]]|{JOINER})*$"
-
-
-def _kind(part: Column) -> Column:
-    """``b`` bullet, ``q`` quoted, ``i`` code or credits, ``h`` hard divider, ``g`` sign, white space or joining word, ``t`` text."""
-    return (
-        F.when(part.rlike(rf"(?s)^(?:{QUOTED})[ \t]*(?:\(.*\)|\[.*\])?$"), "q")
-        .when(part.rlike(rf"(?s)^(?:{CODE}(?:{REMARK})?|{CREDITS})$"), "i")
-        .when(part.rlike(r"^[\r\n;；|｜]+$"), "h")
-        .when(part.rlike(r"^[ \t ]*(?:\(?(?:\d{1,2}|[๐-๙]{1,2})[.)]|[-–•*▪●‣])$"), "b")
-        .when(part.rlike(_PURE), "g")
-        .otherwise("t")
-    )
+_SIGNS = " \t\n\r\x0b\f\u00a0\u3000,，、/\\·&+()[]"
+_SIGN = r"[\s\u00a0\u3000,，、/\\·&+()\[\]]"
+_DASHES = "-–•*▪●‣"
+_WHITE = " \t\n\r\x0b\f\u00a0\u3000"
+#: Marks put into the cell: around literals, between values, around values that stand apart, around brackets.
+_CUT, _NEXT, _ITEM, _END, _OPEN, _CLOSE = "\x01\x02\x03\x04\x05\x06"
+
+
+def _unquoted(value: Column) -> Column:
+    """A trimmed value, without outer quotes where it is one quoted text."""
+    inner = F.regexp_replace(F.substring(value, 2, 100_000_000), r"(?s).$", "")
+    inner = F.when(value.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(inner)
+    return F.when(F.substring(value, 1, 1).isin(*"\"“„«‘'") & value.rlike(rf"(?s)^(?:{QUOTED})$"), F.btrim(inner, F.lit(_WHITE))).otherwise(value)
 
 
-def _plain(value: Column) -> Column:
-    """A value without surrounding white space, and without outer quotes where it is one quoted text."""
-    v = F.regexp_replace(value, r"^[\s 　]+|[\s 　]+$", "")
-    inner = F.regexp_replace(F.substring(v, 2, 100_000_000), r"(?s).$", "")
-    inner = F.when(v.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(inner)
-    inner = F.regexp_replace(inner, r"^[\s 　]+|[\s 　]+$", "")
-    return F.when(v.rlike(rf"(?s)^(?:{QUOTED})$"), inner).otherwise(v)
+def _literal(piece: Column) -> Column:
+    """An odd piece: a bracket belongs to the text around it, all others are values of their own."""
+    first = F.substring(piece, 1, 1)
+    return F.when(first.isin("(", "["), F.concat(F.lit(_OPEN), piece, F.lit(_CLOSE))).otherwise(F.concat(F.lit(_ITEM), piece, F.lit(_END)))
+
+
+def _between(piece: Column, first: Column) -> Column:
+    """An even piece: line breaks, semicolons and bars, with the bullet behind them, become cuts."""
+    start = F.when(first, F.concat(F.lit("\n"), piece)).otherwise(piece)
+    return F.when(start.rlike(r"[\r\n;；|｜]"), F.regexp_replace(F.regexp_replace(start, BULLET, _NEXT), r"[\r\n;；|｜]+", _NEXT)).otherwise(start)
 
 
 def packed_values(cell: Column) -> Column:
     """The values of a cell, in order.
 
     Null, empty and blank cells, and cells of dividers only, give an empty
-    array; equal values are kept; a text of any length is one pass.
+    array; equal values are kept.  Every step is one pass over the cell,
+    however long it is.
     """
-    parts = F.transform(
-        F.regexp_extract_all(cell, F.lit(f"({PART})"), F.lit(1)),
-        lambda p: F.struct(p.alias("p"), _kind(p).alias("k")),
-    )
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("done"), F.lit("").alias("cur"), F.lit("").alias("gap"), F.lit("").alias("last"))
-
-    def closed(s: Column) -> Column:
-        return F.when(s["cur"] == "", s["done"]).otherwise(F.array_append(s["done"], s["cur"]))
-
-    def step(s: Column, x: Column) -> Column:
-        item = x["k"].isin("q", "i")
-        apart = item & (s["last"] == "i")
-        return (
-            F.when(x["k"].isin("h", "b") & ~((x["k"] == "b") & (s["cur"] != "")), F.struct(closed(s).alias("done"), F.lit("").alias("cur"), F.lit("").alias("gap"), F.lit("").alias("last")))
-            .when((x["k"] == "g") | (x["k"] == "b"), F.struct(s["done"].alias("done"), s["cur"].alias("cur"), F.when(s["cur"] == "", F.lit("")).otherwise(F.concat(s["gap"], x["p"])).alias("gap"), s["last"].alias("last")))
-            .when(apart, F.struct(closed(s).alias("done"), x["p"].alias("cur"), F.lit("").alias("gap"), F.lit("i").alias("last")))
-            .otherwise(
-                F.struct(
-                    s["done"].alias("done"),
-                    F.concat(s["cur"], s["gap"], x["p"]).alias("cur"),
-                    F.lit("").alias("gap"),
-                    F.when(item, "i").otherwise("t").alias("last"),
-                )
-            )
-        )
-
-    values = F.aggregate(parts, start, step, closed)
-    return F.coalesce(F.filter(F.transform(values, _plain), lambda v: v != ""), empty)
+    # control characters of the cell would be taken for the marks
+    marked = F.regexp_replace(F.translate(cell, "\x01\x02\x03\x04\x05\x06", ""), f"(?=[\"“„«‘'(\\[\\d])({LITERAL})", f"{_CUT}$1{_CUT}")
+    pieces = F.transform(F.split(marked, _CUT), lambda p, i: F.when(i % 2 == 1, _literal(p)).otherwise(_between(p, i == 0)))
+    whole = F.array_join(pieces, "")
+    # signs, white space and joining words divide where they stand between two values
+    apart = F.regexp_replace(whole, rf"{_END}(?:{_SIGN}|[{_DASHES}]|{JOINER})*+{_ITEM}", f"{_END}{_NEXT}{_ITEM}")
+    values = F.transform(F.split(apart, _NEXT), lambda v: F.btrim(v, F.lit(_SIGNS + _DASHES)))
+    values = F.filter(F.transform(values, _stripped), lambda v: v != "")
+    # a step a transform: a lambda's variable is a value, an expression used twice would be taken twice
+    values = F.transform(F.transform(values, lambda v: F.btrim(F.translate(v, _ITEM + _END + _OPEN + _CLOSE, ""), F.lit(_WHITE))), _unquoted)
+    return F.coalesce(F.filter(values, lambda v: v != ""), F.array().cast("array<string>"))
+
+
+def _stripped(value: Column) -> Column:
+    """A value without the joining words around it and the signs between them."""
+    around = rf"(?:{_SIGN}|[{_DASHES}])*+"
+    v = F.when(value.rlike(rf"^(?:{JOINER})"), F.regexp_replace(value, rf"^(?:{around}(?:{JOINER}))+{around}", "")).otherwise(value)
+    return F.when(value.rlike(rf"(?:{JOINER})$"), F.regexp_replace(v, rf"(?:(?:{JOINER}){around})+$", "")).otherwise(v)
 
 
 def explode_packed(df: DataFrame, key: str, fields: Sequence[str], least: int = 2) -> DataFrame:
