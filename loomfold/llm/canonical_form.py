@@ -3,10 +3,15 @@
 Three steps.  Characters: invisible ones go, spaces and hyphens of one look are
 made one, full-width forms, ligatures and the font's private Thai marks become
 the usual letters.  Thai clusters: marks of a consonant stand in one order,
-split vowels are one letter.  Scripts: a Latin word may hold Greek or Cyrillic
-look-alikes; they are replaced only where the word that results occurs, in
-plain letters, in the corpus.  The vocabulary stays a table: only the suspect
-words are joined with it.
+split vowels are one letter.  Scripts: the dominant script of a token is that of
+the letters no other script shows; look-alikes of other scripts in it are
+replaced by its own, only where the word that results occurs, in one script, in
+the corpus.  The vocabulary stays a table: only the suspect words are joined
+with it.
+
+Tokens whose letters all have look-alikes have no letter that tells the script;
+they are read as Latin, and so are those that are wholly in another script, as
+they look the same as the Latin word.
 """
 
 from __future__ import annotations
@@ -14,12 +19,14 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomfold.llm.expansion import expanded
 from loomfold.sources.shared import checkpoint
 
 #: Private-use marks of the books' fonts and the Thai marks they show.
@@ -55,9 +62,27 @@ _MISPLACED = re.compile("[่-๋][ัิ-ฺ็ํ]|[์๎][ัิ-ฺ็-๋
 _OTHER = re.compile("[^\x00-\x7f\u0e00-\u0e7f]")
 _SPLIT_AM = re.compile("([่-๋]?)ํ([่-๋]?)า")
 _LINE_END = re.compile(r"[ \t]*\r?\n|\r")
-_LETTERS = re.compile("[A-Za-zÀ-ɏ̀-ͯͰ-ϿЀ-ԯ]+")
-_FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
-_LATIN = str.maketrans(LOOK_ALIKES)
+_LETTERS = re.compile("[A-Za-zÀ-ɏ\u0300-\u036f\u0370-\u03ff\u0400-\u052f]+")
+_FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f]")
+LATIN, GREEK, CYRILLIC = 0, 1, 2
+
+
+def _script(c: str) -> int | None:
+    """The script of a letter; combining marks belong to any."""
+    o = ord(c)
+    return GREEK if 0x370 <= o < 0x400 else CYRILLIC if 0x400 <= o < 0x530 else None if 0x300 <= o < 0x370 else LATIN
+
+
+#: For each script the letters that show as a letter of another script, and what they are in this one.
+_INTO = {s: {} for s in (LATIN, GREEK, CYRILLIC)}
+for _c, _l in LOOK_ALIKES.items():
+    _INTO[LATIN][_c] = _l
+    _INTO[_script(_c)].setdefault(_l, _c)
+for _c, _l in LOOK_ALIKES.items():
+    for _d, _m in LOOK_ALIKES.items():
+        if _l == _m and _script(_c) != _script(_d):
+            _INTO[_script(_d)].setdefault(_c, _d)
+_SHARED = set(LOOK_ALIKES) | set(LOOK_ALIKES.values())
 
 
 def _order(m: re.Match) -> str:
@@ -84,17 +109,25 @@ def plain_form(text: str) -> str:
     return _LINE_END.sub("\n", t).rstrip()
 
 
+def reading(word: str) -> str | None:
+    """The word in its dominant script: the one most of its letters belong to that no other script
+    shows, Latin where it has none.  None where it is in that script already, or a letter of
+    another script has no look-alike there."""
+    letters = unicodedata.normalize("NFD", word)
+    scripts = [_script(c) for c in letters]
+    sure = Counter(s for c, s in zip(letters, scripts, strict=True) if s is not None and c not in _SHARED)
+    main = max((LATIN, GREEK, CYRILLIC), key=lambda s: sure[s])
+    if all(s is None or s == main for s in scripts):
+        return None
+    out = [c if s is None or s == main else _INTO[main].get(c) for c, s in zip(letters, scripts, strict=True)]
+    return None if None in out else unicodedata.normalize("NFC", "".join(out))
+
+
 def suspects(plain: str) -> dict[str, str]:
-    """Words of ``plain`` with foreign letters that all have a Latin look-alike, and the Latin words they show."""
+    """Words of ``plain`` with letters of another than their dominant script, and their readings in it."""
     if not _FOREIGN.search(plain):
         return {}
-    out = {}
-    for w in set(_LETTERS.findall(plain)):
-        if _FOREIGN.search(w):
-            latin = unicodedata.normalize("NFC", unicodedata.normalize("NFD", w).translate(_LATIN))
-            if not _FOREIGN.search(latin):
-                out[w] = latin
-    return out
+    return {w: r for w in set(_LETTERS.findall(plain)) if _FOREIGN.search(w) and (r := reading(w))}
 
 
 def repair_words(plain: str, repairs: dict[str, str]) -> str:
@@ -102,62 +135,64 @@ def repair_words(plain: str, repairs: dict[str, str]) -> str:
     return _LETTERS.sub(lambda m: repairs.get(m.group(), m.group()), plain) if repairs else plain
 
 
-def vocabulary(rows: DataFrame) -> DataFrame:
-    """The distinct plain Latin words ``latin`` of ``text`` of all rows."""
+def _one_script(word: str) -> bool:
+    return word.isascii() or not _FOREIGN.search(word) or len({_script(c) for c in word} - {None}) == 1
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: set[str] = set()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                held.update(w for w in set(_LETTERS.findall(plain_form(t) if _OTHER.search(t) else t)) if w.isascii() or not _FOREIGN.search(w))
-            if len(held) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], ["latin"])
-                held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], ["latin"])
 
-    return rows.select("text").filter("text IS NOT NULL").mapInArrow(run, "latin string").distinct()
+_SIGNS = pa.schema([("src", pa.string()), ("id", pa.int64()), ("look", pa.binary()), ("stored", pa.binary()), ("words", pa.list_(pa.struct([("word", pa.string()), ("reading", pa.string())]))), ("known", pa.list_(pa.string()))])
+_SIGNS_DDL = "src string, id long, look binary, stored binary, words array<struct<word: string, reading: string>>, known array<string>"
 
 
-def repairs_of(rows: DataFrame) -> DataFrame:
-    """``(word, latin)``: the suspect words of all rows whose Latin form the corpus has."""
+def _signs(rows: DataFrame) -> DataFrame:
+    """One pass over the texts: ``(src, id, look, stored, words)``, hashes of the text with every
+    suspect word in its reading and of the text as stored, and the suspect words; and rows without
+    ``look`` that hold in ``known`` the words of one script that a task has met."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        met: set[str] = set()
+
+        def known() -> pa.RecordBatch:
+            words = [w for w in met if _one_script(w)]
+            met.clear()
+            return pa.RecordBatch.from_pylist([{"src": None, "id": None, "look": None, "stored": None, "words": [], "known": words}], _SIGNS)
+
         for batch in batches:
-            found: dict[str, str] = {}
-            for t in batch.column(0).to_pylist():
-                found.update(suspects(plain_form(t)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.string())], ["word", "latin"])
+            out = []
+            for src, i, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                p = plain_form(t)
+                met.update(_LETTERS.findall(p))
+                if p.strip():
+                    s = suspects(p)
+                    out.append({"src": src, "id": i, "look": sign(repair_words(p, s)), "stored": sign(t), "words": [{"word": w, "reading": r} for w, r in sorted(s.items())], "known": []})
+            yield pa.RecordBatch.from_pylist(out, _SIGNS)
+            if len(met) > 100_000:
+                yield known()
+        yield known()
 
-    return rows.select("text").filter(F.col("text").rlike("[Ͱ-ϿЀ-ԯ]")).mapInArrow(run, "word string, latin string").distinct().join(vocabulary(rows), "latin", "left_semi")
+    return rows.select("src", "id", "text").filter("text IS NOT NULL").mapInArrow(run, _SIGNS_DDL)
 
 
-def _signs(rows: DataFrame) -> DataFrame:
-    """``(src, id, look, stored, words)``: hashes of the text with every suspect word in Latin
-    letters and of the text as stored, and the suspect words."""
+def _repairs(signs: DataFrame) -> DataFrame:
+    """``(word, reading)``: the suspect words whose reading the corpus has."""
+    known = signs.select(F.explode("known").alias("reading")).distinct()
+    return signs.select(F.explode("words").alias("w")).select("w.word", "w.reading").distinct().join(known, "reading", "left_semi")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign = lambda t: hashlib.blake2b(t.encode(), digest_size=16).digest()
-        for batch in batches:
-            look, stored, words = [], [], []
-            for t in batch.column(2).to_pylist():
-                p = plain_form(t)
-                s = suspects(p)
-                look.append(sign(repair_words(p, s)) if p.strip() else None)
-                stored.append(sign(t))
-                words.append(sorted(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(look, pa.binary()), pa.array(stored, pa.binary()), pa.array(words, pa.list_(pa.string()))], ["src", "id", "look", "stored", "words"])
 
-    return rows.select("src", "id", "text").filter("text IS NOT NULL").mapInArrow(run, "src string, id long, look binary, stored binary, words array<string>").filter("look IS NOT NULL")
+def repairs_of(rows: DataFrame) -> DataFrame:
+    """``(word, reading)``: the suspect words of all rows whose reading the corpus has."""
+    return _repairs(checkpoint(_signs(rows).select("words", "known")))
 
 
 def look_classes(rows: DataFrame) -> DataFrame:
     """``(src, id, look, stored, kept)``: rows look the same where ``look`` and ``kept`` are
-    equal; ``kept`` holds the suspect words that the corpus does not know in Latin letters."""
-    signs = checkpoint(_signs(rows))
+    equal; ``kept`` holds the suspect words whose reading the corpus does not have."""
+    every = checkpoint(_signs(rows))
+    signs = every.filter("look IS NOT NULL").drop("known")
     plain, odd = signs.filter("size(words) = 0"), signs.filter("size(words) > 0")
     none = F.array().cast("array<string>")
-    known = odd.select("src", "id", F.explode("words").alias("word")).join(repairs_of(rows), "word", "left")
-    kept = known.groupBy("src", "id").agg(F.sort_array(F.collect_set(F.when(F.col("latin").isNull(), F.col("word")))).alias("kept"))
+    known = odd.select("src", "id", F.explode("words.word").alias("word")).join(_repairs(every), "word", "left")
+    kept = known.groupBy("src", "id").agg(F.sort_array(F.collect_set(F.when(F.col("reading").isNull(), F.col("word")))).alias("kept"))
     return plain.select("src", "id", "look", "stored", none.alias("kept")).unionByName(odd.join(kept, ["src", "id"]).select("src", "id", "look", "stored", "kept"))
 
 
@@ -169,13 +204,19 @@ def same_look(rows: DataFrame) -> DataFrame:
     forms of one look are compared once each, then carried to their rows; rows of
     the same form never meet.
     """
-    classes = checkpoint(look_classes(rows))
-    forms = classes.select("src", "look", "kept", "stored").distinct()
-    pairs = forms.alias("x").join(forms.alias("y"), ["src", "look", "kept"]).filter("x.stored < y.stored").select("src", "look", "kept", F.col("x.stored").alias("s1"), F.col("y.stored").alias("s2"))
-    ids = classes.select("src", "look", "kept", "stored", "id")
-    one = pairs.join(ids.withColumnsRenamed({"stored": "s1", "id": "i1"}), ["src", "look", "kept", "s1"])
-    both = one.join(ids.withColumnsRenamed({"stored": "s2", "id": "i2"}), ["src", "look", "kept", "s2"])
-    return both.select("src", F.least("i1", "i2").alias("id_a"), F.greatest("i1", "i2").alias("id_b"))
+    forms, members, pairs = look_pairs(rows)
+    both = expanded(pairs, members)
+    src = forms.select(F.col("form").alias("a"), "src")
+    return both.join(src, "a").select("src", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+
+
+def look_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(form, src)``: the forms in which texts are stored; ``(form, id)``: the rows of each;
+    ``(a, b)``: the forms that look the same.  A form is one hash, whatever the number of its copies."""
+    classes = checkpoint(look_classes(rows).withColumn("form", F.sha2(F.concat(F.col("src").cast("binary"), F.col("stored")), 256)))
+    forms = classes.select("src", "look", "kept", "form").distinct()
+    pairs = forms.alias("x").join(forms.alias("y"), ["src", "look", "kept"]).filter("x.form < y.form").select(F.col("x.form").alias("a"), F.col("y.form").alias("b"))
+    return forms.select("form", "src"), classes.select(F.col("form").alias("cls"), "id"), pairs
 
 
 def canonical_text(rows: DataFrame) -> DataFrame:
@@ -190,11 +231,11 @@ def canonical_text(rows: DataFrame) -> DataFrame:
 
     done = rows.select("src", "id", "text").mapInArrow(plain, "src string, id long, text string, words array<string>")
     odd = done.filter("size(words) > 0")
-    per = odd.select("src", "id", F.explode("words").alias("word")).join(fixed, "word").groupBy("src", "id").agg(F.collect_list(F.struct("word", "latin")).alias("fix"))
+    per = odd.select("src", "id", F.explode("words").alias("word")).join(fixed, "word").groupBy("src", "id").agg(F.collect_list(F.struct("word", "reading")).alias("fix"))
 
     def mend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [repair_words(t, {x["word"]: x["latin"] for x in f or []}) for t, f in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [repair_words(t, {x["word"]: x["reading"] for x in f or []}) for t, f in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["src", "id", "text"])
 
     mended = odd.join(per, ["src", "id"], "left").select("src", "id", "text", "fix").mapInArrow(mend, "src string, id long, text string")

@@ -89,8 +89,12 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_amount(table(spark, d, "documents"))
 
 
+def p10_links(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_links(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_statistics": p2_statistics, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_texts": p5_texts, "p6_found": p6_found, "p6_texts": p6_texts, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_shared": p10_shared}
+    return {"p2_found": p2_found, "p2_statistics": p2_statistics, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_texts": p5_texts, "p6_found": p6_found, "p6_texts": p6_texts, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_shared": p10_shared, "p10_links": p10_links}
 
 
 P3_SQL = """

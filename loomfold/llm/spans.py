@@ -7,11 +7,13 @@ place of it.  Fingerprints of a batch form a *run*: an immutable table in the
 shared folder, bucketed and sorted by hash.  A new batch is merge-joined with
 itself and with each earlier run without moving the runs, the meetings are
 verified on the characters, and once there are ``FAN`` runs they are compacted
-into one.
+into one.  A manifest beside the runs names those that count, so an index can be
+opened again in another session and appended to.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -22,12 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomfold.llm.arrays import U, chunks, code_points, prefix, sliding_min, stretch_hash, strings
+from loomfold.llm.expansion import expanded
 from loomfold.sources.shared import checkpoint, shared_path
 
 SPAN = 160
 GRAM = 80
 #: Runs that are kept before they are compacted into one.
-FAN = 4
+FAN = 2
+#: Batches in which the queries put the rows into the index.
+BATCHES = 3
 #: A hash with more places than HOT in a run is met in SALTS parts, each by a task of its own.
 HOT, SALTS = 1_000, 64
 _PLACE = 22
@@ -78,21 +83,62 @@ def fingerprints(docs: DataFrame, key: str, text: str, span: int = SPAN, gram: i
 
 
 class SpanIndex:
-    """Runs of fingerprints by hash, newest last.  ``add`` gives the meetings of a batch."""
+    """Runs of fingerprints by hash, oldest first, in the folder ``root``.
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
+    A folder that holds an index is opened as it was left; any other starts
+    empty.  ``add`` appends a batch and gives its meetings, ``compact`` makes one
+    run of all, ``close`` forgets the tables of this session and deletes the
+    files that no run needs any more.  Every change is a new manifest, so a job
+    that fails leaves the index as it was.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.root = root or shared_path(spark, "index")
         self.runs: list[str] = []
+        self.paths: dict[str, str] = {}
         self.hot: dict[str, DataFrame | None] = {}
-
-    def _write(self, prints: DataFrame) -> str:
-        name = f"loomfold_run_{uuid.uuid4().hex}"
-        writer = prints.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h")
-        writer.option("path", shared_path(self.spark, "run")).saveAsTable(name)
+        self.version, held = self._last()
+        self.buckets = held["buckets"] if held else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        for run in held["runs"] if held else ():
+            name = self._name()
+            fields = ", ".join(f"`{f}` {t}" for f, t in run["schema"])
+            spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{run['path']}'")
+            self._know(name, run["path"])
+            self.runs.append(name)
+
+    @staticmethod
+    def _name() -> str:
+        return f"loomfold_run_{uuid.uuid4().hex}"
+
+    def _folder(self, at: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _last(self) -> tuple[int, dict | None]:
+        """The number and the content of the last whole manifest."""
+        path, fs = self._folder(f"{self.root}/manifest")
+        if not fs.exists(path):
+            return 0, None
+        done = [int(f.getPath().getName()) for f in fs.listStatus(path) if fs.exists(self._folder(f"{f.getPath()}/_SUCCESS")[0])]
+        return (max(done), json.loads(self.spark.read.text(f"{self.root}/manifest/{max(done)}").first()[0])) if done else (0, None)
+
+    def _commit(self) -> None:
+        runs = [{"path": self.paths[r], "schema": self.spark.table(r).dtypes} for r in self.runs]
+        self.version += 1
+        self.spark.createDataFrame([(json.dumps({"buckets": self.buckets, "runs": runs}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/manifest/{self.version}")
+
+    def _know(self, name: str, path: str) -> None:
+        self.paths[name] = path
         # a run is bucketed by hash: this moves no row
         hot = checkpoint(self.spark.table(name).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("h"))
         self.hot[name] = None if hot.isEmpty() else hot
+
+    def _write(self, prints: DataFrame) -> str:
+        name = self._name()
+        path = f"{self.root}/{name}"
+        prints.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
+        self._know(name, path)
         return name
 
     def _join(self, new: str, old: str) -> DataFrame:
@@ -117,6 +163,16 @@ class SpanIndex:
             for r in self.runs[1:]:
                 every = every.unionByName(self.spark.table(r))
             self.runs = [self._write(every)]
+            self._commit()
+
+    def close(self) -> None:
+        """Drops this session's tables and deletes the runs that were compacted; results of ``add`` must be written by then."""
+        for name, path in self.paths.items():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            if name not in self.runs:
+                at, fs = self._folder(path)
+                fs.delete(at, True)
+        self.paths = {r: self.paths[r] for r in self.runs}
 
     def add(self, prints: DataFrame) -> DataFrame:
         """``(a, pos_a, b, pos_b)``: where a text of the batch meets another of the batch or
@@ -134,6 +190,7 @@ class SpanIndex:
             part = both.select(a.alias("a"), pa_.alias("pos_a"), b.alias("b"), pb.alias("pos_b"))
             met = part if met is None else met.unionByName(part)
         self.runs.append(new)
+        self._commit()
         if len(self.runs) >= FAN:
             self.compact()
         return met
@@ -155,9 +212,8 @@ def _agree(left: str, right: str, most: int) -> int:
 
 
 def verified(met: DataFrame, docs: DataFrame, key: str, text: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """The distinct pairs ``(a, b)`` of ``met`` whose texts have a common stretch of ``span``
+    """The distinct pairs ``(a, b)`` of the distinct meetings ``met`` whose texts have a common stretch of ``span``
     characters over the meeting: only ``span`` - ``gram`` characters on either side matter."""
-    met = checkpoint(met.distinct())
     side = span - gram
     wanted = met.select(F.col("a").alias("doc"), F.col("pos_a").alias("pos")).union(met.select("b", "pos_b")).distinct()
     around = checkpoint(
@@ -185,7 +241,7 @@ def verified(met: DataFrame, docs: DataFrame, key: str, text: str, span: int = S
 
 def shared_stretches(met: DataFrame, docs: DataFrame, key: str, text: str, span: int = SPAN) -> DataFrame:
     """``(doc, start, stop)`` of each text of ``met``: the whole common stretches of at least ``span`` characters over its meetings."""
-    seeds = checkpoint(met.distinct()).groupBy("a", "b").agg(F.collect_set(F.struct("pos_a", "pos_b")).alias("at"))
+    seeds = met.groupBy("a", "b").agg(F.collect_set(F.struct("pos_a", "pos_b")).alias("at"))
     whole = docs.select(F.col(key).alias("doc"), F.col(text).alias("t"))
     both = seeds.join(whole.withColumnsRenamed({"doc": "a", "t": "ta"}), "a").join(whole.withColumnsRenamed({"doc": "b", "t": "tb"}), "b")
     kind = dict(met.dtypes)["a"]
@@ -233,27 +289,46 @@ def _meet(docs: DataFrame, key: str, text: str, span: int, gram: int, batches: i
         batch = docs.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == i)
         part = index.add(fingerprints(batch, key, text, span, gram).join(copies.select("doc"), "doc", "left_anti").select("h", "doc", "pos", "before"))
         met = part if met is None else met.unionByName(part)
+    met = checkpoint(met.distinct())
+    index.close()
     return classes, met
 
 
-def shared_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, batches: int = 2) -> DataFrame:
+def class_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
+    """``(doc, rep)``, the class of each text that is long enough, and ``(a, b)``, the classes whose texts have a common
+    stretch of at least ``span`` characters, by their first rows."""
+    classes, met = _meet(docs, key, text, span, gram, batches)
+    return classes, verified(met, docs, key, text, span, gram)
+
+
+def shared_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """``(doc_a, doc_b)``, doc_a < doc_b: rows whose texts have a common stretch of at least ``span`` characters.
 
     Equal texts are one class: only its first row is indexed, and the pairs are
     carried over to all rows.  Null, empty and shorter texts share nothing.
     Keys must be distinct.
     """
-    classes, met = _meet(docs, key, text, span, gram, batches)
-    pairs = verified(met, docs, key, text, span, gram)
-    left = classes.select(F.col("rep").alias("a"), F.col("doc").alias("doc_a"))
-    right = classes.select(F.col("rep").alias("b"), F.col("doc").alias("doc_b"))
-    across = pairs.join(left, "a").join(right, "b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"))
-    doubled = classes.join(classes.filter("doc <> rep").select("rep").distinct(), "rep", "left_semi")
-    inside = doubled.select("rep", F.col("doc").alias("doc_a")).join(doubled.select("rep", F.col("doc").alias("doc_b")), "rep").filter("doc_a < doc_b").select("doc_a", "doc_b")
-    return across.unionByName(inside)
-
-
-def shared_amount(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, batches: int = 2) -> DataFrame:
+    classes, pairs = class_pairs(docs, key, text, span, gram, batches)
+    members = classes.select(F.col("rep").alias("cls"), F.col("doc").alias("id"))
+    doubled = classes.filter("doc <> rep").select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct()
+    low, high = F.least("id_a", "id_b"), F.greatest("id_a", "id_b")
+    every = expanded(pairs.select("a", "b").unionByName(doubled), members)
+    return every.filter("a <> b OR id_a < id_b").select(low.alias("doc_a"), high.alias("doc_b"))
+
+
+def shared_links(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+    """``(key, rep, n_links)`` for every row: its class of equal texts, named by its first row, and the number of other
+    rows its text shares a stretch of at least ``span`` characters with.  Classes stay folded: no pair of copies is made.
+    Null, empty and shorter texts have themselves as ``rep`` and no links."""
+    classes, pairs = class_pairs(docs, key, text, span, gram, batches)
+    size = classes.groupBy("rep").agg(F.count("*").alias("n"))
+    ways = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    other = ways.join(size.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("m"))
+    known = classes.join(size, "rep").join(other, "rep", "left").select(F.col("doc").alias(key), "rep", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
+    return docs.select(key).join(known, key, "left").select(key, F.coalesce("rep", key).alias("rep"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def shared_amount(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """``(key, n_chars, shared_chars, share)`` for every row: how much of its text lies in stretches of at least ``span``
     characters that another row has too.  A text that comes twice is shared as a whole; null and empty texts have 0 of 0."""
     classes, met = _meet(docs, key, text, span, gram, batches)
