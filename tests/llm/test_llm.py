@@ -280,6 +280,14 @@ def test_mapping(spark):
     assert {r.value_id for r in canonical_mapping.map_to_canonical(df, "row_id", ["category"], canonical.limit(0)).collect()} == {0}
 
 
+def test_spellings_shortened_and_with_words_around(spark):
+    canonical = spark.createDataFrame([(1, "f", "mainpartalpha", "Alpha Section"), (2, "f", "mainpartbeta", "Beta Section"), (3, "f", "gamma", None), (4, "f", None, None)], "value_id int, field string, value string, value_en string")
+    cells = {"alp sec": 1, "Beta": 2, "section": 0, "my gamma 2": 3, "mainpart": 0, "old part beta": 0, "gam": 3, "ga": 0, "gamma alpha section": 1}
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "row_id long, f string")
+    got = {r.row_id: r.value_id for r in canonical_mapping.map_to_canonical(df, "row_id", ["f"], canonical).collect()}
+    assert got == dict(enumerate(cells.values()))
+
+
 def test_pigeonhole_finds_all_within_the_distance(spark):
     r = random.Random(5)
     refs = spark.createDataFrame([("f", 1, "abcdefghij", 2), ("f", 2, "0123456789", 2)], "field string, value_id int, ref string, edits int")
@@ -294,7 +302,7 @@ def test_pigeonhole_finds_all_within_the_distance(spark):
     from pyspark.sql import functions as F
 
     want = {x.spelled for x in df.filter(F.levenshtein("spelled", F.lit("abcdefghij")) <= 2).collect()}
-    assert {x.spelled for x in canonical_mapping.match_spellings(df, refs).collect()} == want
+    assert {x.spelled for x in canonical_mapping.near_spellings(df, refs).collect()} == want
 
 
 # --- queries ----------------------------------------------------------------
