@@ -2,10 +2,12 @@
 
 A noisy channel: what a line shows is a word sent through character
 confusions.  The words and their neighbours are counted over all pages with a
-text layer; a word that is unknown gets the known words that the confusions
-may have turned into it as candidates, and Viterbi over the candidates of the
+text layer; a word gets the known words that the confusions may have turned
+into it as candidates, and Viterbi over the candidates of the
 line picks the likeliest: confusion probabilities times word-pair likelihood.
-Words divided between lines are joined when the joined word is likelier than
+The probabilities are counted over all scanned texts, on the words that only one
+known word explains.  Frequent words and pairs are sent to every task; readings
+that none of them explains are joined with the table of all words.  Words divided between lines are joined when the joined word is likelier than
 its parts.  The head of a document is the line that comes back at the edges of
 its pages; page numbers are looked for at the edges too.
 """
@@ -15,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -34,10 +36,13 @@ LATIN_CONFUSIONS = [
 DIGIT_CONFUSIONS = str.maketrans({"O": "0", "o": "0", "Q": "0", "I": "1", "l": "1", "|": "1", "i": "1", "Z": "2", "z": "2", "S": "5", "s": "5", "b": "6", "G": "6", "B": "8", "g": "9", "q": "9"})
 #: Thai letters that the engines take for each other, as classes.
 THAI_CLASSES = ["าๅ", "รธ", "กถ", "ชซ", "บษ", "คดตศ", "พฟ", "ฉณ", "ีิ", "ฎฏ"]
-#: Probability of a confusion of a character, and of one that no table lists.
-P_CONFUSION = 0.01
-#: Words and pairs rarer than this share of all are not kept: the model has at most 1 / share entries, whatever the corpus.
+#: Probability of a confusion before any is counted, and the number of letters that this counts for.
+P_CONFUSION, PRIOR = 0.01, 200
+#: Words rarer than this share of all are looked up in the table of all words where a reading needs them, pairs rarer than theirs
+#: count as pairs that were never met: what is sent to every task has at most 1 / share entries, whatever the corpus.
 WORD_SHARE, PAIR_SHARE = 1e-4, 5e-6
+#: Readable words a text is credited with when its share of junk is taken.
+READABLE = 20
 #: Lines at either end of a page in which heads and page numbers are looked for.
 EDGE = 3
 #: Least length of a head, and likeness (of pairs of characters) by which a line repeats it.
@@ -85,26 +90,33 @@ def shapes(word: str) -> set[str]:
 _SKELETON = str.maketrans({"e": "c", "t": "f", "h": "b", "o": "0", "i": "1", "l": "1", "|": "1", "s": "5", "a": "@", "g": "9", "8": "b", "6": "b", "z": "2"})
 
 
-def channel(shown: str, word: str) -> float:
+def channel(shown: str, word: str, cost: Mapping[tuple[str, str], float] | None = None) -> float:
     """Log probability that ``word`` shows as ``shown``: the likeliest way through the confusions."""
+    return _way(shown, word, cost)[0]
+
+
+def _way(shown: str, word: str, cost: Mapping[tuple[str, str], float] | None = None) -> tuple[float, list[tuple[str, str]]]:
+    """The log probability of the likeliest way from ``word`` to ``shown``, and its confusions."""
     a, b = shown, word
-    best = {(0, 0): 0.0}
+    plain = math.log(P_CONFUSION)
+    best: dict[tuple[int, int], tuple[float, list[tuple[str, str]]]] = {(0, 0): (0.0, [])}
     for i in range(len(a) + 1):
         for j in range(len(b) + 1):
-            p = best.get((i, j))
-            if p is None:
+            here = best.get((i, j))
+            if here is None:
                 continue
+            p, used = here
             steps = []
             if i < len(a) and j < len(b) and a[i].lower() == b[j]:
-                steps.append((1, 1, 0.0 if a[i] == b[j] or i == 0 else math.log(P_CONFUSION)))
+                steps.append((1, 1, 0.0 if a[i] == b[j] or i == 0 else plain, None))
             for x, y in LATIN_CONFUSIONS:
                 if (a.startswith(x, i) or a[i : i + len(x)].lower() == x and i == 0) and b.startswith(y, j):
-                    steps.append((len(x), len(y), math.log(P_CONFUSION)))
-            for di, dj, q in steps:
+                    steps.append((len(x), len(y), cost.get((x, y), plain) if cost else plain, (x, y)))
+            for di, dj, q, what in steps:
                 at = (i + di, j + dj)
-                if best.get(at, -1e9) < p + q:
-                    best[at] = p + q
-    return best.get((len(a), len(b)), -1e9)
+                if at not in best or best[at][0] < p + q:
+                    best[at] = (p + q, [*used, what] if what else used)
+    return best.get((len(a), len(b)), (-1e9, []))
 
 
 def thai_form(text: str) -> bytes:
@@ -120,17 +132,35 @@ class Model:
     pairs: dict[tuple[str, str], int]
     capital: dict[str, float]
     thai: list[str] = field(default_factory=list)
+    cost: dict[tuple[str, str], float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.total = sum(self.words.values()) or 1
-        self.plain = set(self.words) | {w[0].upper() + w[1:] for w in self.words}
+        self.plain: set[str] = set()
         self.by_form: dict[str, list[str]] = defaultdict(list)
         for w in self.words:
-            for f in shapes(w):
-                self.by_form[f].append(w)
+            self._learn_form(w)
         self.terms = [(t, thai_form(t)) for t in self.thai]
         self.kept: dict[str, list[tuple[str, float]]] = {}
 
+    def _learn_form(self, w: str) -> None:
+        self.plain |= {w, w[0].upper() + w[1:]}
+        for f in shapes(w):
+            self.by_form[f].append(w)
+            if len(self.by_form[f]) > 1:
+                # these can be taken for each other, so seeing one does not settle it
+                self.plain.difference_update(x for v in self.by_form[f] for x in (v, v[0].upper() + v[1:]))
+
+    def know(self, more: Iterable[Mapping]) -> None:
+        """Adds rare words of the corpus that a text may hold.  They are words like all others: what a text gives does not depend on them
+        unless it has a reading of their shape, and then it brings them along."""
+        for r in more:
+            if r["word"] not in self.words:
+                self.words[r["word"]] = r["n"]
+                self.capital[r["word"]] = r["capital"]
+                self._learn_form(r["word"])
+                self.kept.clear()
+
     def likely(self, before: str | None, word: str) -> float:
         """Log probability of a word after another, mixed with its own."""
         own = (self.words.get(word, 0) + 0.01) / (self.total + 1)
@@ -139,13 +169,11 @@ class Model:
         return math.log(0.9 * self.pairs.get((before, word), 0) / self.words[before] + 0.1 * own)
 
     def candidates(self, shown: str) -> list[tuple[str, float]]:
-        """Known words with the probability to be shown so; the word itself where it is known."""
+        """Known words with the log probability to be shown so; a known word is read as itself or, by confusion, as another."""
         if shown not in self.kept:
             low = shown.lower()
-            if low in self.words:
-                found = [(low, 0.0)]
-            else:
-                found = [(w, p) for w in self.by_form.get(shape(shown), ()) if (p := channel(shown, w)) > -1e8]
+            found = [(low, 0.0)] if low in self.words else []
+            found += [(w, p) for w in self.by_form.get(shape(shown), ()) if w != low and (p := channel(shown, w, self.cost)) > -1e8]
             if len(self.kept) > 100_000:
                 self.kept.clear()
             self.kept[shown] = found
@@ -196,10 +224,10 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            if "�" in text or "(cid:" in text or not _LATIN_LETTER.search(text):
+            if not _LATIN_LETTER.search(text):
                 continue
             for line in text.split("\n"):
-                if len(line) < 50 or not _LATIN_LETTER.search(line) or _TABLE.search(line.strip()):
+                if not _LATIN_LETTER.search(line):
                     continue
                 if _FOREIGN.search(line):
                     line = plain_form(line).translate(_SHOWN)
@@ -217,22 +245,93 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def learn(clean: DataFrame, terms: DataFrame) -> Model:
-    """The model from all texts of ``clean`` (column ``text``) and the Thai ``term`` of a fixed list."""
+def learn(clean: DataFrame, terms: DataFrame, scans: DataFrame) -> tuple[Model, DataFrame]:
+    """The model from all texts of ``clean`` (column ``text``), the Thai ``term`` of a fixed list and the scanned
+    texts ``scans`` (``src, item_id, text``); and ``(src, item_id, rare)``, the rare words that readings of a scanned text may stand for."""
     counts = checkpoint(clean.select("text").filter("text <> ''").mapInArrow(_count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
-    share = F.when(F.col("a") == "", WORD_SHARE).otherwise(PAIR_SHARE)
-    # the totals are two rows: one of words, one of pairs
-    sums = counts.groupBy((F.col("a") == "").alias("single")).agg(F.sum("n").alias("total"))
-    rows = counts.join(F.broadcast(sums), (F.col("a") == "") == F.col("single")).filter(F.col("n") >= share * F.col("total")).select("a", "b", "n").collect()
-    words: Counter = Counter()
-    capital: Counter = Counter()
-    for r in rows:
-        if not r.a:
-            words[r.b.lower()] += r.n
-            if r.b[0].isupper():
-                capital[r.b.lower()] += r.n
+    single = F.col("a") == ""
+    sums = counts.groupBy(single.alias("single")).agg(F.sum("n").alias("total"))
+    total = {r.single: r.total for r in sums.collect()}  # two numbers
+    words = counts.filter(single).groupBy(F.lower("b").alias("word")).agg(F.sum("n").alias("n"), (F.sum(F.when(F.substring("b", 1, 1).rlike("[A-Z]"), F.col("n")).otherwise(0)) / F.sum("n")).alias("capital"))
+    least = WORD_SHARE * total.get(True, 0)
+    known = words.filter(F.col("n") >= least).collect()
+    pairs = counts.filter(~single & (F.col("n") >= PAIR_SHARE * total.get(False, 0))).select("a", "b", "n").collect()
     thai = [r.term for r in terms.select("term").distinct().collect() if r.term and re.match("[ก-๙]", r.term)]
-    return Model(dict(words), {(r.a, r.b): r.n for r in rows if r.a}, {w: capital[w] / n for w, n in words.items()}, thai)
+    model = Model({r.word: r.n for r in known}, {(r.a, r.b): r.n for r in pairs}, {r.word: r.capital for r in known}, thai)
+    seen = checkpoint(_survey(scans, model))
+    model.cost = _costs(seen)
+    model.kept.clear()
+    readings = seen.filter("kind = 'open'").select("src", "item_id", F.col("a").alias("shown"), "shape")
+    rare = words.filter(F.col("n") < least).mapInArrow(_shaped, "word string, n long, capital double, shape string")
+    met = readings.join(rare, "shape").groupBy("src", "item_id").agg(F.collect_set(F.struct("word", "n", "capital")).alias("rare"))
+    return model, met
+
+
+def _shaped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of a word for each of its shapes."""
+    for b in batches:
+        forms = [sorted(shapes(w)) for w in b.column(0).to_pylist()]
+        at = pa.array([i for i, f in enumerate(forms) for _ in f], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), pa.array([x for f in forms for x in f], pa.string())], ["word", "n", "capital", "shape"])
+
+
+def _survey(scans: DataFrame, model: Model) -> DataFrame:
+    """One pass over the scanned texts: ``open`` readings that no frequent word explains, with their shape,
+    and how often each true form was shown (``shown``), and as what else (``taken``), in the words that just one known word explains."""
+    held = scans.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("kind", pa.string()), ("src", pa.string()), ("item_id", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64()), ("shape", pa.string())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        true = sorted({y for _, y in LATIN_CONFUSIONS})
+        tally: Counter = Counter()
+        only: dict[str, str | None] = {}
+        for batch in batches:
+            rows = []
+            for src, item, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                for t in readings(text):
+                    if t in m.plain:
+                        tally[t] += 1
+                        continue
+                    if t not in only:
+                        found = m.candidates(t)
+                        only[t] = found[0][0] if len(found) == 1 else "" if found else None
+                    if only[t] is None:
+                        rows.append(("open", src, item, t, None, None, shape(t)))
+                    elif only[t]:
+                        tally[t, only[t]] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, schema, strict=True)], schema=schema)
+        sums: Counter = Counter()
+        for k, n in tally.items():
+            word = k.lower() if isinstance(k, str) else k[1]
+            for y in true:
+                if y in word:
+                    sums["shown", y, None] += n * word.count(y)
+            if not isinstance(k, str):
+                for x, y in _way(k[0], word)[1]:
+                    sums["taken", x, y] += n
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*[(k, None, None, a, b, n, None) for (k, a, b), n in sums.items()], strict=True) if sums else [[]] * 7, schema, strict=True)], schema=schema)
+
+    return scans.select("src", "item_id", "text").filter("text <> ''").mapInArrow(run, "kind string, src string, item_id long, a string, b string, n long, shape string")
+
+
+def readings(text: str) -> set[str]:
+    """The words a text shows, and what the words at the ends of its lines show together with those at the next one's beginning."""
+    out = set(_WORDY.findall(text))
+    lines = [x for x in text.split("\n") if x.strip()]
+    for line, following in zip(lines, lines[1:], strict=False):
+        end = line.rstrip()
+        if end[-1] in _ENDS and (start := _START.match(following)) and (tail := _TAIL.search(line, end.rfind(" ") + 1)):
+            out |= {tail.group(1) + start.group(1), f"{tail.group(1)}-{start.group(1)}"}
+    return out
+
+
+def _costs(seen: DataFrame) -> dict[tuple[str, str], float]:
+    """Log probabilities of the confusions.  The table has a row for each confusion and true form of the fixed list."""
+    rows = seen.filter("kind <> 'open'").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
+    shown = {r.a: r.n for r in rows if r.kind == "shown"}
+    taken = {(r.a, r.b): r.n for r in rows if r.kind == "taken"}
+    return {(x, y): math.log((taken.get((x, y), 0) + PRIOR * P_CONFUSION) / (shown.get(y, 0) + PRIOR)) for x, y in LATIN_CONFUSIONS}
 
 
 def _bare(line: str) -> str:
@@ -328,14 +427,16 @@ def repair(text: str, head: str | None, model: Model, whole: bool = True) -> Rep
 def _is_junk(text: str, model: Model) -> bool:
     if text.count("�") * 10 > len(text) or "(cid:" in text:
         return True
-    if len(_ODD.findall(text)) < 20:
-        return False
+    if len(_ODD.findall(text)) <= 0.5 * READABLE:
+        return False  # too few to outweigh the readable words a text is credited with
     words = [t for t in _TOKEN.findall(text) if len(t) > 2 and not t.isdigit()]
-    return sum(bool(_ODD.search(t)) and not model.candidates(t) for t in words) > 0.5 * len(words)
+    return sum(bool(_ODD.search(t)) and not model.candidates(t) for t in words) > 0.5 * (len(words) + READABLE)
 
 
 def _known(shown: str, model: Model) -> str | None:
-    """The word of one reading, the likeliest by itself."""
+    """The word of one reading: itself, or the likeliest that shows so."""
+    if shown.lower() in model.words:
+        return shown.lower()
     found = model.candidates(shown)
     return max(found, key=lambda c: c[1] + model.likely(None, c[0]))[0] if found else None
 
@@ -390,7 +491,7 @@ def _mend_line(line: str, cut: int, join: tuple | None, model: Model, terms: lis
     if not model.plain.issuperset(_WORDY.findall(mid)):
         spans = [m for m in _WORDY.finditer(mid) if m.span() not in codes]
         shown = [m.group() for m in spans]
-        if any(s.lower() not in model.words for s in shown):
+        if any(s not in model.plain for s in shown):
             for m, s, w in zip(spans, shown, model.decode(shown), strict=True):
                 if w and s.lower() != w and len(w) > 1:
                     right = model.cased(s, w)
@@ -447,24 +548,34 @@ def scanned_texts(page: DataFrame, stage_result: DataFrame) -> DataFrame:
     )
 
 
+def scan_rows(page: DataFrame, stage_result: DataFrame) -> DataFrame:
+    """``(src, item_id, text)`` of the same."""
+    return page.filter("extraction_method LIKE 'ocr_%'").select(F.lit("page").alias("src"), F.col("page_id").alias("item_id"), F.col("page_text").alias("text")).unionByName(
+        stage_result.select(F.lit("stage_result").alias("src"), F.col("stage_result_id").alias("item_id"), "text")
+    )
+
+
 def clean_texts(page: DataFrame) -> DataFrame:
     """The texts of all pages that have a text layer."""
     return page.filter("NOT coalesce(extraction_method LIKE 'ocr_%', false)").select(F.col("page_text").alias("text"))
 
 
-def _repairs(texts: DataFrame, model: Model, schema: str, rows) -> DataFrame:
+def _repairs(texts: DataFrame, model: Model, rare: DataFrame, schema: str, rows) -> DataFrame:
     held = texts.sparkSession.sparkContext.broadcast(model)
-    with_head = texts.filter("text <> ''").join(heads(texts), "document_id", "left")
+    with_head = texts.filter("text <> ''").join(heads(texts), "document_id", "left").join(rare, ["src", "item_id"], "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
+            more = batch.column(4).to_pylist()
+            for r in more:
+                m.know(r or ())
             yield rows(zip(*(batch.column(c).to_pylist() for c in ("src", "item_id", "text", "head")), strict=True), m)
 
-    return with_head.select("src", "item_id", "text", "head").mapInArrow(run, schema)
+    return with_head.select("src", "item_id", "text", "head", "rare").mapInArrow(run, schema)
 
 
-def noise(texts: DataFrame, model: Model) -> DataFrame:
+def noise(texts: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
     """``(src, item_id, kind, found)``, distinct, for ``texts`` with ``src, item_id, page_id, document_id, text``.
 
     Null and empty texts have no noise; texts without a document have no head."""
@@ -474,10 +585,10 @@ def noise(texts: DataFrame, model: Model) -> DataFrame:
         cols = list(zip(*out, strict=True)) or [[], [], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["src", "item_id", "kind", "found"])
 
-    return _repairs(texts, model, "src string, item_id long, kind string, found string", rows)
+    return _repairs(texts, model, rare, "src string, item_id long, kind string, found string", rows)
 
 
-def repaired(texts: DataFrame, model: Model) -> DataFrame:
+def repaired(texts: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
     """``(src, item_id, text)``: the texts as continuous paragraphs; null and empty texts do not come out."""
 
     def rows(items, m: Model) -> pa.RecordBatch:
@@ -485,4 +596,4 @@ def repaired(texts: DataFrame, model: Model) -> DataFrame:
         cols = list(zip(*out, strict=True)) or [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()), strict=True)], ["src", "item_id", "text"])
 
-    return _repairs(texts, model, "src string, item_id long, text string", rows)
+    return _repairs(texts, model, rare, "src string, item_id long, text string", rows)

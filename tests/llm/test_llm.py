@@ -202,6 +202,7 @@ def test_statistics_beside_stored(spark):
 
 # --- p5 ---------------------------------------------------------------------
 
+RARE = "src string, item_id long, rare array<struct<word: string, n: long, capital: double>>"
 HEAD = "Curriculum Handbook BIT 2556 / Heading Office"
 
 
@@ -229,14 +230,35 @@ def test_heads_need_two_pages(spark):
     rows = [("page", i, i, "d", f"{i}   {HEAD}\nbody text number {i} of it\nlast line {i}{i}") for i in (1, 2, 3)] + [("page", 9, 9, "e", HEAD), ("page", 10, 10, None, HEAD), ("page", 11, 11, "d", None)]
     df = spark.createDataFrame(rows, "src string, item_id long, page_id long, document_id string, text string")
     assert [tuple(r) for r in scan_noise.heads(df).collect()] == [("d", HEAD)]
-    got = {(r.item_id, r.kind) for r in scan_noise.noise(df, _model()).collect()}
+    got = {(r.item_id, r.kind) for r in scan_noise.noise(df, _model(), spark.createDataFrame([], RARE)).collect()}
     assert got == {(1, "running_head"), (2, "running_head"), (3, "running_head")}
 
 
 def test_model_counts_clean_pages(spark):
     clean = spark.createDataFrame([("the course of the department and the committee in the seminar room",), ("ｔｈｅ соursе of the department and the committee in the seminar room",), (None,), ("",)], "text string")
-    m = scan_noise.learn(clean, spark.createDataFrame([("หลักสูตร",), ("credit",), (None,)], "term string"))
-    assert m.words["course"] == 2 and m.words["the"] == 8 and m.thai == ["หลักสูตร"]
+    scans = spark.createDataFrame([("page", i, "tbe c0urse of the department") for i in range(400)] + [("page", 999, None), ("page", 998, "")], "src string, item_id long, text string")
+    m, rare = scan_noise.learn(clean, spark.createDataFrame([("หลักสูตร",), ("credit",), (None,)], "term string"), scans)
+    assert m.words["course"] == 2 and m.words["the"] == 8 and m.thai == ["หลักสูตร"] and rare.count() == 0
+    # of 800 h and 800 o half are shown otherwise, of the 2000 e none; 200 letters count beforehand, 2 of them shown otherwise
+    for (shown, true), taken, every in ((("b", "h"), 400, 800), (("0", "o"), 400, 800), (("c", "e"), 0, 2000)):
+        assert np.exp(m.cost[shown, true]) == pytest.approx((taken + 2) / (every + 200))
+
+
+def test_rare_words_come_from_the_table(spark, monkeypatch):
+    monkeypatch.setattr(scan_noise, "WORD_SHARE", 0.05)
+    clean = spark.createDataFrame([("the course " * 200 + "heliotrope",)], "text string")
+    scans = spark.createDataFrame([("page", 1, "the be1iotrope course"), ("page", 2, "the helio-\ntrope of the course"), ("page", 3, "tbe course")], "src string, item_id long, text string")
+    m, rare = scan_noise.learn(clean, spark.createDataFrame([], "term string"), scans)
+    assert set(m.words) == {"the", "course"}
+    texts = scans.selectExpr("src", "item_id", "item_id AS page_id", "'d' AS document_id", "text")
+    got = {(r.item_id, r.kind, r.found) for r in scan_noise.noise(texts, m, rare).collect()}
+    assert got == {(1, "misread", "heliotrope"), (2, "broken_word", "heliotrope"), (3, "misread", "the")}
+
+
+def test_a_real_word_may_stand_for_another():
+    words = dict.fromkeys(["for", "the", "ear", "car", "park", "infection"], 100)
+    m = scan_noise.Model(words, {("the", "car"): 60, ("car", "park"): 60, ("ear", "infection"): 60, ("the", "ear"): 30}, dict.fromkeys(words, 0.0), cost={("c", "e"): np.log(0.2)})
+    assert m.decode(["the", "car", "infection"]) == ["the", "ear", "infection"] and m.decode(["the", "car", "park"]) == ["the", "car", "park"]
 
 
 # --- p6 ---------------------------------------------------------------------
