@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomfold.sources.shared import checkpoint
+
 #: Edits allowed by the length of the reference spelling: two swaps of neighbours in a long one, one in a short one.
 LONG, LONG_EDITS, SHORT, SHORT_EDITS = 10, 4, 5, 2
 #: Letters of the segment by which shortened and extended spellings are found, and of parts that many entries hold.
@@ -139,7 +141,8 @@ def map_to_canonical(df: DataFrame, key: str, fields: list[str], canonical: Data
     cells = df.select(F.col(key).alias("_key"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("cell")) for f in fields])).alias("c")).select("_key", "c.field", "c.cell")
     exact = canonical.select("field", F.col("value").alias("cell")).distinct()
     typed = cells.filter("cell IS NOT NULL AND cell <> ''").join(exact, ["field", "cell"], "left_anti").withColumn("spelled", normal_spelling(F.col("cell")))
-    distinct = typed.select("field", "spelled").distinct()
-    known = match_spellings(distinct, spellings(canonical), common_parts(canonical))
+    # the distinct spellings are looked at in several ways, and are few beside the cells
+    distinct = checkpoint(typed.select("field", "spelled").distinct())
+    known = checkpoint(match_spellings(distinct, spellings(canonical), common_parts(canonical)))
     every = known.unionByName(distinct.join(known, ["field", "spelled"], "left_anti").withColumn("value_id", F.lit(0)))
     return typed.join(every, ["field", "spelled"]).select(F.col("_key").alias(key), "field", F.col("value_id").cast("int").alias("value_id"))
