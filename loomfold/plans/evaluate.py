@@ -31,7 +31,10 @@ def question_classify(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("chunk_id", answers.classify(F.col("heading"))["level"].alias("level"))
 
 
-@R.add("question_year", "SELECT doc_id, CAST(NULLIF(regexp_extract(text, 'ปี(?:ที่)?\\s*([1-4])', 1), '') AS INTEGER) AS year FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, 'ปี(?:ที่)?(หนึ่ง|สอง|สาม|สี่)')")
+@R.add(
+    "question_year",
+    "SELECT doc_id, COALESCE(CAST(NULLIF(regexp_extract(text, 'ปี(?:ที่)?\\s*([1-4])', 1), '') AS INTEGER), CASE WHEN regexp_matches(text, 'ปี(?:ที่)?หนึ่ง') THEN 1 WHEN regexp_matches(text, 'ปี(?:ที่)?สอง') THEN 2 WHEN regexp_matches(text, 'ปี(?:ที่)?สาม') THEN 3 WHEN regexp_matches(text, 'ปี(?:ที่)?สี่') THEN 4 END) AS year FROM documents WHERE text IS NOT NULL",
+)
 def question_year(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", answers.study_year(F.col("text")).alias("year"))
 
@@ -49,27 +52,6 @@ def citations_issued(spark: SparkSession, d: str) -> DataFrame:
     return answers.issue_citations(rows, ["document_id"], [F.asc("page_start"), F.asc("chunk_id")]).select("document_id", "chunk_id", "citation_id")
 
 
-def _answers(spark: SparkSession, d: str) -> DataFrame:
-    """Answers made of the chunks of a page, each cited; every seventh citation was never issued."""
-    n = F.format_string("cite-%03d", F.pmod("chunk_id", F.lit(900)) + 1)
-    rows = table(spark, d, "chunk").filter("document_id IS NOT NULL").select("document_id", "page_start", "chunk_id", n.alias("c"), F.concat(F.coalesce("content_text", F.lit("")), F.lit(" ["), n, F.lit("].")).alias("line"))
-    grouped = rows.groupBy("document_id", "page_start").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "line", "c"))).alias("l"))
-    return grouped.select(
-        F.concat_ws("/", "document_id", F.col("page_start").cast("string")).alias("request_id"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("answer"),
-        F.transform(F.filter("l", lambda x: F.pmod(x["chunk_id"], F.lit(7)) != 0), lambda x: x["c"]).alias("issued"),
-    )
-
-
-@R.add("citations_validate")
-def citations_validate(spark: SparkSession, d: str) -> DataFrame:
-    return answers.validate_answers(_answers(spark, d), "request_id")
-
-
-@R.add("answer_dedupe")
-def answer_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return answers.dedupe_answers(table(spark, d, "documents").filter("text IS NOT NULL"), "doc_id", "text")
-
-
 @R.add(
     "answer_cache_key",
     """SELECT document_id, sha256(concat_ws(chr(31), regexp_replace(trim(regexp_replace(lower(q), '\\s+', ' ', 'g')), '[?。.]+$', ''), v, substring(sha256(t), 1, 32))) AS k FROM
@@ -89,11 +71,7 @@ def question_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunk").filter("heading IS NOT NULL").select("chunk_id", question_key(F.col("heading")).alias("k"))
 
 
-@R.add(
-    "cer_eval",
-    """WITH s AS (SELECT region_id, regexp_replace(substring(text, 1, 4000), '[^\\x{20}-\\x{7E}]', '', 'g') AS t, stage_index FROM stage_result WHERE text IS NOT NULL), a AS (SELECT region_id, min(t) AS t FROM s WHERE stage_index = 1 GROUP BY 1), b AS (SELECT region_id, min(t) AS t FROM s WHERE stage_index = 2 GROUP BY 1)
-    SELECT a.region_id, round(CASE WHEN length(b.t) = 0 THEN 0.0 ELSE levenshtein(a.t, b.t) / length(b.t) END, 6) AS cer FROM a JOIN b ON a.region_id = b.region_id""".replace("substring(text, 1, 4000)", "text"),
-)
+@R.add("cer_eval")
 def cer_eval(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "stage_result").filter("text IS NOT NULL").select("region_id", "stage_index", thai.composed("text").alias("t"))
     one = lambda i, n: rows.filter(F.col("stage_index") == i).groupBy("region_id").agg(F.min("t").alias(n))
@@ -187,10 +165,3 @@ def reproducibility(spark: SparkSession, d: str) -> DataFrame:
 @R.add("gold_coverage", "SELECT document_id FROM document d WHERE NOT EXISTS (SELECT 1 FROM chunk k WHERE k.document_id = d.document_id)")
 def gold_coverage(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "document").select("document_id").join(table(spark, d, "chunk").select("document_id"), "document_id", "left_anti")
-
-
-@R.add("unsupported_rate")
-def unsupported_rate(spark: SparkSession, d: str) -> DataFrame:
-    checked = answers.validate_answers(_answers(spark, d), "request_id")
-    s = checked.agg(F.sum("unsupported").alias("unsupported"), F.sum(F.col("passed") + F.col("removed") + F.col("unsupported")).alias("claims"))
-    return s.select("unsupported", "claims", F.round(evaluation.ratio(F.col("unsupported"), F.col("claims")), 6).alias("rate"))

@@ -26,9 +26,14 @@ def _finish(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 @R.add("stream_resume", "SELECT event_id, user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1")
 def stream_resume(spark: SparkSession, d: str) -> DataFrame:
-    out = shared_path(spark, "resume")
-    events.upsert_batches(_stream(spark, d, "events").select("event_id", "user_id", "ts", "value"), ["event_id"], "ts", out, shared_path(spark, "resume-checkpoint")).awaitTermination()
-    return spark.read.option("recursiveFileLookup", "true").parquet(out).select("event_id", "user_id", "value")
+    """All events, and half of them a second time in their older form, as files that come in several batches."""
+    rows = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    old = rows.filter("event_id % 2 = 0").withColumn("value", F.col("value") - 1).withColumn("ts", F.expr("ts - INTERVAL 1 SECOND"))
+    files, out = shared_path(spark, "resume-files"), shared_path(spark, "resume")
+    rows.unionByName(old).repartition(4).write.parquet(files)
+    stream = events.file_stream(spark, files, "*.parquet", rows.schema, files=1)
+    events.upsert_batches(stream, ["event_id"], "ts", out, shared_path(spark, "resume-checkpoint")).awaitTermination()
+    return events.current(spark, out, ["event_id"], "ts", rows.schema).select("event_id", "user_id", "value")
 
 
 @R.add("stream_windows")

@@ -13,7 +13,6 @@ from loomfold.sources.tables import table
 R = Registry()
 #: Characters of a readable page.
 DECLARED = r"\u0E00-\u0E7FA-Za-z0-9.,;:!?()\[\]{}<>/\\\-–—_'\"“”‘’%&*+=@#$^~|`"
-_DECLARED_SQL = "[^ก-๛A-Za-z0-9.,;:!?()\\[\\]{}\"'“”‘’/\\\\\\-–—+=*&%#@_<>|•·]"
 
 
 def _terms(spark: SparkSession, d: str) -> list[str]:
@@ -22,9 +21,9 @@ def _terms(spark: SparkSession, d: str) -> list[str]:
 
 @R.add(
     "page_quality_score",
-    """WITH t AS (SELECT page_id, count(*) FILTER (true) AS k FROM page GROUP BY page_id), s AS (SELECT p.page_id, p.page_text AS x, regexp_replace(p.page_text, '\\s', '', 'g') AS solid FROM page p WHERE p.page_text IS NOT NULL),
-    n AS (SELECT s.page_id, length(x) AS chars, length(solid) AS ns, length(regexp_replace(solid, '[ก-๛A-Za-z0-9]', '', 'g')) AS bad, (SELECT CAST(sum((length(s.x) - length(replace(s.x, l.term, ''))) // length(l.term)) AS BIGINT) FROM lexicon_term l) AS terms FROM s)
-    SELECT page_id, CAST(terms AS BIGINT) AS terms, round(greatest(0.0, least(1.0, 0.45 * least(chars / 1200.0, 1.0) + 0.20 * (1 - CASE WHEN ns = 0 THEN 0.0 ELSE bad / ns END) + 0.20 * (1 - 0.0) + 0.15 * least(terms / 12.0, 1.0))), 6) AS score FROM n""",
+    """WITH s AS (SELECT page_id, page_text AS x, regexp_replace(page_text, '\\s', '', 'g') AS solid FROM page WHERE page_text IS NOT NULL), m AS (SELECT page_id, COALESCE(max(image_area_ratio), 0.0) AS i FROM page_metrics GROUP BY page_id),
+    n AS (SELECT s.page_id, length(x) AS chars, length(solid) AS ns, length(regexp_replace(solid, '[\\x{0E00}-\\x{0E7F}A-Za-z0-9.,;:!?()\\[\\]{}<>/\\\\\\-–—_''"“”‘’%&*+=@#$^~|`]', '', 'g')) AS bad, COALESCE(m.i, 0.0) AS i, (SELECT CAST(sum((length(s.x) - length(replace(s.x, l.term, ''))) // length(l.term)) AS BIGINT) FROM lexicon_term l) AS terms FROM s LEFT JOIN m ON m.page_id = s.page_id)
+    SELECT page_id, terms, round(greatest(0.0, least(1.0, 0.45 * least(chars / 1200.0, 1.0) + 0.20 * (1 - CASE WHEN ns = 0 THEN 0.0 ELSE bad / ns END) + 0.20 * (1 - i) + 0.15 * least(terms / 12.0, 1.0))), 6) AS score FROM n""",
 )
 def page_quality_score(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("page_text")
@@ -66,7 +65,10 @@ def text_keys(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@R.add("code_extraction", "SELECT doc_id, code, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[0-9A-Za-z_ก-ฮ]*[A-Za-z_ก-ฮะาำเแโใไๅๆ๐-๙][0-9A-Za-z_ก-ฮะาำเแโใไๅๆ๐-๙]*', ' ', 'g'), '[0-9]+')) AS code FROM documents WHERE regexp_full_match(text, '[\\x{00}-\\x{7F}]*')) WHERE length(code) = 8 GROUP BY doc_id, code")
+@R.add(
+    "code_extraction",
+    "SELECT doc_id, code, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS code FROM documents) WHERE regexp_full_match(code, '\\p{Nd}{8}') GROUP BY doc_id, code",
+)
 def code_extraction(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({text.CODE})"), F.lit(1))).alias("code"))
     return rows.groupBy("doc_id", "code").agg(F.count("*").alias("n"))

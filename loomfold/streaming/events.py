@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType, files: int = 16) -> DataFrame:
@@ -19,18 +19,26 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema: StructTy
 
 
 def upsert_batches(stream: DataFrame, key: list[str], order: str, path: str, checkpoint_dir: str):
-    """Starts a query that keeps the latest row of each key of every batch under ``path``, one folder a batch.
+    """Starts a query that writes the latest row of each key of every batch under ``path``, one folder a batch.
 
-    A batch that is run again after a failure overwrites its own folder, so a row counts once.
+    A batch that is run again after a failure overwrites its own folder, so a
+    row counts once.  ``current`` merges the batches; nothing that is written is read or moved here.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         latest = batch.groupBy(*key).agg(F.max_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
-        latest.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        latest.write.mode("overwrite").parquet(f"{path}/_batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
 
 
+def current(spark: SparkSession, path: str, key: list[str], order: str, schema: StructType) -> DataFrame:
+    """The latest row of each key over all batches under ``path``; of equal ``order`` the row of the later batch counts."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("_batch", LongType())])).option("basePath", path).parquet(path)
+    columns = schema.fieldNames()
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*columns), F.struct(F.col(order), F.col("_batch"))).alias("_r")).select("_r.*")
+
+
 def windowed_counts(stream: DataFrame, at: str, key: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """``(start, key, n, total)`` per tumbling window; rows later than ``late`` behind the newest are dropped by the watermark."""
     return (

@@ -142,11 +142,22 @@ def test_rules(spark):
     assert all(r.got == r.want for r in df.withColumn("got", rule_holds(F.col("a"), F.col("c"), F.col("v"))).collect())
 
 
-def test_answers():
-    out = answers.validate("Fact one is here [cite-001]. Unknown [cite-009].\n- both [cite-001] [cite-009]\n== head\nLong claim without any.", {"cite-001"})
-    assert out == ("Fact one is here [cite-001].\n- both [cite-001]\n== head\nLong claim without any.", 2, 2, 1, 0)
-    assert answers.validate("Total credits are 120.", set(), {"credits": "135"})[0] == "Total credits are 135."
-    assert answers.dedupe_lines("a 06016101\n  - x\nb 06016101\n  - y\nc") == "a 06016101\n  - x\nc"
+def test_answers(spark):
+    rows = [
+        (1, "Fact one is here [cite-001]. Unknown [cite-009].\n- both [cite-001] [cite-009]\n== head\nLong claim without any.", ["cite-001"], None),
+        (2, "Total credits are 120. Another 7 credits.", [], {"credits": "135"}), (3, None, None, {}), (4, "", [], {"a$b": "1"}), (5, "cost a$b: 20 or 5.", [], {"a$b": "1\\0"}),
+    ]
+    df = spark.createDataFrame(rows, "k int, answer string, issued array<string>, values map<string,string>")
+    got = {r.k: (r.validated, r.passed, r.removed, r.unsupported, r.replaced) for r in answers.validate_answers(df, "k", "values").collect()}
+    assert got[1][1:4] == (2, 2, 1) and got[1][0] == "Fact one is here [cite-001].\n- both [cite-001]\n== head\nLong claim without any."
+    assert got[2][0] == "Total credits are 135.\nAnother 135 credits." and got[2][4] == 2
+    assert got[3][0] == got[4][0] == "" and got[5][0] == "cost a$b: 1\\0 or 5."
+
+
+def test_repeated_courses_go_with_their_entries(spark):
+    texts = ["a 06016101\n  - x\nb 06016101\n  - y\nc", "06016101 A\n- x\n06016101 A again\n- y\nend\n- z", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    assert {r.k: r.deduped for r in answers.dedupe_answers(df, "k", "t").collect()} == {0: "a 06016101\n  - x\nc", 1: "06016101 A\n- x\nend\n- z", 2: "", 3: ""}
 
 
 def test_questions(spark):
