@@ -1,18 +1,25 @@
 """Statistics of a text by which natural prose is told from lists, tables and junk.
 
-Counted per text: words, their mean length, shares of symbols, of lines that
-end in punctuation, of common words, and how readable the characters are.
-Layout: how well delimiters stand at the same places from line to line (their
-number in neighbouring lines, as columns do), how regularly lines are indented
-or marked, how the lengths of neighbouring lines agree (lines broken at a
-width are full, entries of a list are not).
+Counted per text: words, their mean length, shares of symbols, digits, of lines
+that end in punctuation, of common words, and how readable the characters are.
+Layout: how far the delimiters of a line stand where those of its neighbours
+stand (by number and by column), at which lag the indentation repeats, how the
+lengths of lines agree with those one, two and three lines on, how full lines are.
+
+A logistic model weighs all of them at once, each with its square, so that no
+single count switches the kind.  Its weights lie in ``text_quality.json``; ``fit``
+makes them from labelled texts.  They were fitted on at most ``SAMPLE`` pages,
+stretches of pages and some strings of random signs (junk); the pages were
+labelled by an earlier set of rules.  How many lines or
+characters a text has is no feature, so a page of any size is treated alike.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +28,8 @@ from pyspark.sql import functions as F
 
 from loomfold.llm.canonical_form import _OTHER, LOOK_ALIKES, plain_form
 
+#: Labelled texts that the model is fitted on, at most.
+SAMPLE = 40_000
 #: Frequent words of running text in both languages.
 COMMON_ENGLISH = frozenset(
     "the of and a an to in is are was be that it its for on with as by at from this these those which or each every any some one both has have not when while what how under over between within through during before after"
@@ -28,11 +37,6 @@ COMMON_ENGLISH = frozenset(
 )
 COMMON_THAI = ("และ", "หรือ", "ของ", "ที่", "ใน", "การ", "ให้", "เป็น", "จาก", "โดย", "เพื่อ", "ซึ่ง", "ทั้ง", "อย่าง", "ได้", "ตาม", "หลังจาก", "รวมทั้ง", "ตลอดจน", "เมื่อ", "หาก", "สำหรับ")
 _COMMON_THAI = re.compile("|".join(COMMON_THAI))
-#: Words that join the parts of a sentence, which entries of lists do without.
-_JOINING = re.compile(
-    r"\b(?:[Tt]he|[Tt]his|[Tt]hat|is|its|it|has|when|When|what|[Ee]very|[Ee]ach|[Aa]ny|some|both|one|least|of|to|To|[Ii]n|on|for|within|with)\b"
-    "|โดย|หาก|ซึ่ง|ตลอดจน|รวมทั้ง|หลังจาก|เมื่อ|สำหรับ|ทั้งนี้|เพื่อ|(?<!ทั้งใน)และ"
-)
 #: Signs that set cells apart: how often each stands in a stripped line.
 DELIMITERS = {
     "tab": lambda x: x.count("\t"),
@@ -45,26 +49,30 @@ DELIMITERS = {
     "caret": lambda x: x.count("^") + x.count("~"),
 }
 _GAP = re.compile(r"(?<=\S) {2,}(?=\S)")
-MIN_READABLE, MAX_ODD, MAX_RARE = 0.75, 0.4, 0.1
+_CELL = re.compile(r"\S(?: {2,}|\t|[|│┃¦║])(?=\s*\S)")
 _WORD = re.compile(r"[A-Za-z]+(?:[-'’][A-Za-z]+)*|[ก-๛]+|\d+")
+_LATIN = re.compile("[A-Za-z]+")
 _RULE = re.compile(r"[\s─━═\-=_+|│┼├┤┬┴~*.]*")
 _NUMBER = re.compile(
     r"(?:[-–~\[(]?\s*(?:(?:page|p\.?|หน้า|หน้าที่)\s*)?(?:\d{1,4}|[๐-๙]{1,4}|[ivxlc]{1,7})(?:\s*(?:/|of|จาก|ของ)\s*(?:\d{1,4}|[๐-๙]{1,4}))?\s*[-–~\])]?)", re.I
 )
-_MARKER = re.compile(r"(?:[-–—•*·▪●○◦‣✓☐■□➢›»]|\(?(?:\d{1,3}|[๐-๙]{1,3})(?:\.(?:\d{1,3}|[๐-๙]{1,3}))*[.)]|\(?(?:\d{1,2}|[๐-๙]{1,2})(?:\.(?:\d{1,3}|[๐-๙]{1,3}))+|\(?(?:[a-zA-Z]|[ก-ฮ]|[ivxIVX]{1,4})[.)]|(?=(?:\S*\d){5})\w{8})(?=[\s  ])")
-_LEADER = re.compile(r"(?:[.·…‥_]\s?){4,}\s*(?:\d{1,4}|[๐-๙]{1,4})?\s*$|\s{2,}(?:\d{1,4}|[๐-๙]{1,4})\s*$")
 _SHOWN = str.maketrans(LOOK_ALIKES)
 _CID = re.compile(r"\(cid:\d+\)")
 _STOP = re.compile(r"[.!?…ฯ:;]['\"”’)\]]*$")
 #: Longest mean cell of a row, in characters.
 CELL = 45
-#: Longest entry of a list, and longest line that a page may be broken at.
-ENTRY, WIDTH = 70, 130
+#: Lags of indentation and of line lengths, and characters from which a line counts as long.
+LAGS, LONG = (1, 2, 3, 4), 70
+KINDS = ("prose", "list", "table", "junk")
+#: The features in the order of the weights.
+FEATURES = (
+    "table_share", "column_share", "cells_share", "length_lag_1", "length_lag_2", "length_lag_3", "indent_lag_1", "indent_periodicity", "indent_share", "line_length", "line_spread", "line_variation", "full_share", "line_median", "line_longest",
+    "mean_word_length", "words_a_line", "symbol_ratio", "digit_ratio", "stop_line_share", "common_word_share", "running_share", "running_twice_share", "long_line_share", "readable_share", "digit_end_share", "capital_share", "small_share", "letter_end_share", "odd_word_share", "alike_start_share", "alike_end_share", "alike_values_share",
+)
 
 
 def _kinds() -> np.ndarray:
-    """For each code point: 1 letter of either language or digit, 2 ordinary punctuation, 3 another Latin letter, 4 white space,
-    and 16 more for Thai letters, 32 more for those that running text hardly uses."""
+    """For each code point: 1 letter of either language or digit, 2 ordinary punctuation, 3 another Latin letter, 4 white space."""
     table = np.zeros(0x110000, dtype=np.uint8)
     table[[ord(c) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = 1
     table[0x0E01:0x0E5C] = 1
@@ -72,45 +80,54 @@ def _kinds() -> np.ndarray:
     table[0xC0:0x250] = 3
     table[[0xD7, 0xF7]] = 0
     table[[c for c in range(0x3001) if chr(c).isspace()]] = 4
-    table[0x0E01:0x0E4F] += 16
-    table[[ord(c) for c in "ฃฅฆฌฎฏฐฑฒฬฝ"]] += 32
     return table
 
 
-_KINDS = _kinds()
+_TABLE = _kinds()
 _DRAWN = re.compile(r"([.·…‥_\-=─━═│┃|+*])(?:\s?\1)+")
 _BARS = str.maketrans("", "", "│┃|")
 _MANGLED = re.compile(r"à[¸¹]|[ÐØß÷×þðæ]{3}")
 
 
-def readable_share(text: str) -> tuple[float, float]:
-    """``(readable, rare)``: the share of the signs that are letters of either language, digits or (half) ordinary
-    punctuation, where lines and leaders drawn of dots and dashes count for nothing; and the share of the Thai letters
-    that running text hardly uses, 0 for fewer than thirty."""
-    t = _CID.sub("￾￾￾", text) if "(cid:" in text else text
+def readable_share(text: str) -> float:
+    """The share of the signs that are letters of either language, digits or (half) ordinary
+    punctuation, where lines and leaders drawn of dots and dashes count for nothing."""
+    t = _CID.sub("\ufffe\ufffe\ufffe", text) if "(cid:" in text else text
     t = _DRAWN.sub("", t).translate(_BARS) if not t.isalnum() and _DRAWN.search(t) else t.replace("|", "").replace("│", "")
-    kinds = _KINDS[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-    n = np.bincount(kinds, minlength=64)
-    thai = int(n[17] + n[49])
-    rare = float(n[49] / thai) if thai >= 30 else 0.0
-    solid = len(kinds) - int(n[4])
+    n = np.bincount(_TABLE[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)], minlength=5)
+    solid = int(n[:4].sum())
     if not solid:
-        return (1.0 if text.strip() else 0.0), rare
-    good = n[1] + n[17] + n[49] + (n[3] if n[3] and not _MANGLED.search(t) else 0)
-    return float((good + 0.5 * n[2]) / solid), rare
+        return 1.0 if text.strip() else 0.0
+    return float((n[1] + (n[3] if n[3] and not _MANGLED.search(t) else 0) + 0.5 * n[2]) / solid)
 
 
 _ALNUM = re.compile(r"[A-Za-z0-9]{3,}")
-_HAS_VOWEL = re.compile("[aeiouyAEIOUY]")
+_VOWEL = re.compile("[aeiouyAEIOUY]")
+_DIGITS, _LETTERS = re.compile(r"[\d๐-๙]+"), re.compile("[A-Za-zก-๛]+")
 
 
 def odd_word_share(text: str) -> float:
-    """Share of the words with Latin letters that mix letters and digits or have no vowel;
-    0 for fewer than eight such words."""
+    """Share of the words with Latin letters that mix letters and digits or have no vowel."""
     words = [w for w in _ALNUM.findall(text) if not w.isdigit()]
-    if len(words) < 8:
-        return 0.0
-    return sum(not w.isalpha() or not _HAS_VOWEL.search(w) for w in words) / len(words)
+    return sum(not w.isalpha() or not _VOWEL.search(w) for w in words) / len(words) if words else 0.0
+
+
+def alike_start_share(lines: list[str]) -> float:
+    """Share of the lines that begin with a sign or number, as a line beside them does."""
+    start = [_LETTERS.sub("a", _DIGITS.sub("9", x.split(" ", 1)[0][:12]))[:4] for x in lines]
+    return sum(s != "a" and s in (start[i - 1] if i else "", start[i + 1] if i + 1 < len(start) else "") for i, s in enumerate(start)) / len(start) if start else 0.0
+
+
+def alike_end_share(lines: list[str]) -> float:
+    """Share of the lines that end in a number or sign of the form that ends a line beside them."""
+    end = [_LETTERS.sub("a", _DIGITS.sub("9", x.rsplit(" ", 1)[-1][-16:])) for x in lines]
+    return sum("9" in s and s in (end[i - 1] if i else "", end[i + 1] if i + 1 < len(end) else "") for i, s in enumerate(end)) / len(end) if end else 0.0
+
+
+def alike_values_share(lines: list[str]) -> float:
+    """Share of the lines with words that hold digits, as many as a line beside them has."""
+    held = [sum(bool(_DIGITS.search(w)) for w in x.split()) for x in lines]
+    return sum(k > 0 and k in (held[i - 1] if i else 0, held[i + 1] if i + 1 < len(held) else 0) for i, k in enumerate(held)) / len(held) if held else 0.0
 
 
 def body_lines(text: str) -> list[str]:
@@ -138,59 +155,26 @@ def _delimited(lines: list[str]) -> tuple[float, str]:
     return best
 
 
-_VALUE = re.compile(r"(?=\S*\d)[\d.,%()\-–/]+|-|[A-Z][+\-]?|(?=(?:\S*\d){5})\w{8}")
-
-
-def _values(line: str) -> bool:
-    """Three or more cells with single spaces between them: three values, two beside text, or one between texts."""
-    parts = line.split()
-    if len(line) > 3 * CELL or _running(line) or _LEADER.search(line):
-        return False
-    value = [bool(_VALUE.fullmatch(p)) for p in parts]
-    return sum(value) >= 3 or sum(value) == 2 and len(parts) > 2 or sum(value) == 1 and not value[0] and not value[-1]
-
-
-_END = re.compile(r"[a-z][.!?] [A-Z]")
-
+def _columns(lines: list[str]) -> tuple[float, float]:
+    """How far the cells of a line begin where those of a neighbour do, give or take one character, on the mean; and
+    the share of lines with three or more cells."""
+    starts = [{m.end() for m in _CELL.finditer(x)} for x in lines]
+    met = 0.0
+    for i, own in enumerate(starts):
+        if own:
+            near = {p + d for j in (i - 1, i + 1) if 0 <= j < len(starts) for p in starts[j] for d in (-1, 0, 1)}
+            met += len(own & near) / len(own)
+    return met / len(lines), sum(len(c) >= 2 for c in starts) / len(lines)
 
-def _running(s: str) -> bool:
-    """Words that join the parts of a sentence, or a sentence's end within the line."""
-    return bool(_JOINING.search(s)) or bool(_END.search(s))
 
-
-def _entries(lines: list[str]) -> tuple[float, float]:
-    """Share of the characters that stand in entries of a list, and of those with a marker or leader.
-
-    A line with joining words is running text, and so is its neighbour where the
-    line before is full: where the next line's first word would not have fitted."""
-    # the first and the last line may be a running head of another width
-    inner = lines[1:-1] if len(lines) > 4 else lines
-    width = max((len(x.rstrip()) for x in inner if len(x) <= WIDTH), default=0)
-    bare = [x.strip() for x in lines]
-    mark = [bool(_MARKER.match(s)) or bool(_LEADER.search(s)) for s in bare]
-    listed = [m and len(s) <= 2 * ENTRY and not (len(s) > ENTRY and _running(s)) for m, s in zip(mark, bare, strict=True)]
-    full = [
-        i + 1 < len(bare) and not mark[i + 1] and width < len(x.rstrip()) + 1 + len(bare[i + 1].split(" ")[0]) and len(x.rstrip()) <= 1.3 * width
-        for i, x in enumerate(lines)
-    ]
-    sure = [not k and (len(s) > ENTRY or _running(s)) for k, s in zip(listed, bare, strict=True)]
-    prose = [
-        p or not listed[i] and (i > 0 and sure[i - 1] and full[i - 1] or i + 1 < len(bare) and sure[i + 1] and full[i])
-        for i, p in enumerate(sure)
-    ]
-    total = sum(map(len, bare))
-    entry = sum(len(s) for s, p in zip(bare, prose, strict=True) if not p)
-    marked = sum(len(s) for s, k in zip(bare, listed, strict=True) if k)
-    return (entry / total, marked / total) if total else (0.0, 0.0)
-
-
-def autocorrelation(values: list[float]) -> float:
-    """Of neighbours, from -1 to 1; 0 where there are fewer than three or all are equal."""
-    if len(values) < 3:
+def autocorrelation(values: Sequence[float], lag: int = 1) -> float:
+    """Of values ``lag`` apart, from -1 to 1; 0 where there are fewer than two such pairs or all are equal."""
+    if len(values) < max(3, lag + 2):
         return 0.0
-    v = np.asarray(values, dtype=float) - np.mean(values)
+    v = np.asarray(values, dtype=float)
+    v = v - v.mean()
     d = float(v @ v)
-    return float(v[:-1] @ v[1:]) / d if d else 0.0
+    return float(v[:-lag] @ v[lag:]) / d if d > 1e-9 else 0.0
 
 
 def measure(text: str) -> dict[str, float | int | str]:
@@ -200,49 +184,74 @@ def measure(text: str) -> dict[str, float | int | str]:
     if _OTHER.search(text):
         text = plain_form(text).translate(_SHOWN)
     lines = body_lines(text)
+    n = len(lines)
+    bare = [x.strip() for x in lines]
     words = _WORD.findall(text)
-    solid = len("".join(text.split()))
+    solid = "".join(text.split())
     letters = sum(map(len, words))
-    latin = [w.lower() for w in words if w[0].isascii() and w[0].isalpha()]
-    thai = [w for w in words if "ก" <= w[0] <= "๛"]
-    common = sum(w in COMMON_ENGLISH for w in latin) + sum(bool(_COMMON_THAI.search(w)) for w in thai)
+    common = [sum(w.lower() in COMMON_ENGLISH for w in _LATIN.findall(s)) + len(_COMMON_THAI.findall(s)) for s in bare]
     indents = [len(x) - len(x.lstrip()) for x in lines]
+    lengths = np.array([len(x.rstrip()) for x in lines] or [0], dtype=float)
+    width = float(np.percentile(lengths, 90))
+    chars = max(1, sum(map(len, bare)))
     table, sign = _delimited(lines) if lines else (0.0, "")
-    listed, marked = _entries(lines)
-    values = sum(map(_values, lines)) / len(lines) if lines else 0.0
-    readable, rare = readable_share(text)
+    column, cells = _columns(lines) if lines else (0.0, 0.0)
+    lags = [autocorrelation(indents, k) for k in LAGS]
+    mean = lambda many: sum(many) / n if n else 0.0
+    part = lambda many: sum(len(s) for s, ok in zip(bare, many, strict=True) if ok) / chars
     out = {
-        "n_chars": size, "n_words": len(words), "n_lines": len(lines),
-        "mean_word_length": letters / len(words) if words else 0.0,
-        "symbol_ratio": 1 - letters / solid if solid else 0.0,
-        "stop_line_share": sum(bool(_STOP.search(x.strip())) for x in lines) / len(lines) if lines else 0.0,
-        "common_word_share": common / max(1, len(latin) + len(thai)),
-        "readable_share": readable, "odd_word_share": odd_word_share(text), "rare_thai_share": rare, "table_share": max(table, values), "delimiter": sign if table >= values else "space" if values else "",
-        "list_share": listed, "marker_share": marked,
-        "length_autocorrelation": autocorrelation([len(x) for x in lines]),
-        "indent_period_share": Counter(indents).most_common(1)[0][1] / len(lines) if lines else 0.0,
+        "n_chars": size, "n_words": len(words), "n_lines": n, "delimiter": sign,
+        "table_share": table, "column_share": column, "cells_share": cells,
+        "length_lag_1": autocorrelation(lengths, 1), "length_lag_2": autocorrelation(lengths, 2), "length_lag_3": autocorrelation(lengths, 3),
+        "indent_lag_1": lags[0], "indent_periodicity": max(lags), "indent_share": mean([i > 0 for i in indents]),
+        "line_length": float(lengths.mean()) / 100, "line_spread": float(lengths.std()) / 100, "line_variation": float(lengths.std() / (lengths.mean() + 1)),
+        "full_share": float((lengths >= 0.8 * width).mean()) if n else 0.0, "line_median": float(np.median(lengths)) / 100, "line_longest": min(float(lengths.max()), 400.0) / 100,
+        "mean_word_length": letters / len(words) if words else 0.0, "words_a_line": len(words) / max(1, n) / 10,
+        "symbol_ratio": 1 - letters / len(solid) if solid else 0.0, "digit_ratio": sum(map(str.isdigit, solid)) / max(1, len(solid)),
+        "stop_line_share": mean([bool(_STOP.search(s)) for s in bare]), "common_word_share": 10 * sum(common) / max(1, letters),
+        "running_share": part([c >= 1 for c in common]), "running_twice_share": part([c >= 2 for c in common]), "long_line_share": part([len(s) > LONG for s in bare]),
+        "readable_share": readable_share(text), "digit_end_share": mean([s[-1].isdigit() for s in bare]), "capital_share": mean([s[0].isupper() for s in bare]),
+        "small_share": mean([s[0].islower() for s in bare]), "letter_end_share": mean([s[-1].isalpha() for s in bare]), "odd_word_share": odd_word_share(text), "alike_start_share": alike_start_share(bare),
+        "alike_end_share": alike_end_share(bare), "alike_values_share": alike_values_share(bare),
     }
-    return out | {"kind": kind_of(out)}
+    return out | {"kind": kind_of(out) if solid else "blank"}
+
+
+def _terms(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """The features in units of their spread, within four of them, their squares, and a constant."""
+    z = np.clip((x - mean) / spread, -4, 4)
+    return np.concatenate([z, z * z, np.ones((*z.shape[:-1], 1))], axis=-1)
+
+
+def fit(features: np.ndarray, kinds: Sequence[str], steps: int = 3_000, rate: float = 0.3, shrink: float = 3e-5) -> dict[str, list]:
+    """Weights of the logistic model from labelled texts, by descent with momentum; a random ``SAMPLE`` of more."""
+    x, y = np.asarray(features, dtype=float), np.array([KINDS.index(k) for k in kinds])
+    if len(x) > SAMPLE:
+        at = np.random.RandomState(0).permutation(len(x))[:SAMPLE]
+        x, y = x[at], y[at]
+    mean, spread = x.mean(0), x.std(0) + 1e-9
+    a, target = _terms(x, mean, spread), np.eye(len(KINDS))[y]
+    w = np.zeros((a.shape[1], len(KINDS)))
+    v = np.zeros_like(w)
+    for _ in range(steps):
+        p = np.exp((s := a @ w) - s.max(1, keepdims=True))
+        v = 0.9 * v - rate * (a.T @ (p / p.sum(1, keepdims=True) - target) / len(a) + shrink * w)
+        w += v
+    return {"mean": mean.round(5).tolist(), "spread": spread.round(5).tolist(), "weights": (w - w[:, :1]).T[1:].round(3).tolist()}
+
+
+_MODEL = {k: np.array(v) for k, v in json.loads((Path(__file__).parent / "text_quality.json").read_text()).items()}
 
 
 def kind_of(m: dict) -> str:
-    """``blank``, ``junk``, ``table``, ``list`` or ``prose``."""
-    if not m["symbol_ratio"] and not m["n_words"]:
-        return "blank"
-    if m["readable_share"] < MIN_READABLE or m["table_share"] < 0.5 and (m["odd_word_share"] > MAX_ODD or m["rare_thai_share"] > MAX_RARE):
-        return "junk"
-    if not m["n_lines"]:
-        return "prose" if m["n_words"] else "junk"
-    if m["table_share"] >= 0.5:
-        return "table"
-    return "list" if m["list_share"] >= 0.5 and m["n_lines"] >= 3 else "prose"
-
-
-SCHEMA = {
-    "n_chars": pa.int32(), "n_words": pa.int32(), "n_lines": pa.int32(), "mean_word_length": pa.float64(), "symbol_ratio": pa.float64(), "stop_line_share": pa.float64(),
-    "common_word_share": pa.float64(), "readable_share": pa.float64(), "odd_word_share": pa.float64(), "rare_thai_share": pa.float64(), "table_share": pa.float64(), "delimiter": pa.string(), "list_share": pa.float64(), "marker_share": pa.float64(),
-    "length_autocorrelation": pa.float64(), "indent_period_share": pa.float64(), "kind": pa.string(),
-}
+    """``prose``, ``list``, ``table`` or ``junk``, whichever the model finds likeliest."""
+    x = np.array([m[f] for f in FEATURES])
+    scores = _MODEL["weights"] @ _terms(x, _MODEL["mean"], _MODEL["spread"])
+    best = int(scores.argmax())
+    return KINDS[best + 1] if scores[best] > 0 else KINDS[0]
+
+
+SCHEMA = {"n_chars": pa.int32(), "n_words": pa.int32(), "n_lines": pa.int32(), "delimiter": pa.string()} | dict.fromkeys(FEATURES, pa.float64()) | {"kind": pa.string()}
 _DDL = ", ".join(f"{k} {'int' if t == pa.int32() else 'double' if t == pa.float64() else 'string'}" for k, t in SCHEMA.items())
 
 
