@@ -18,8 +18,8 @@ from pyspark.sql.window import Window
 
 from loomfold.sources.shared import checkpoint
 
-#: Parts in which the items of one length are ranked.
-PARTS = 64
+#: Items of one length that are ranked together; a length with more is ranked in parts.
+PART = 500_000
 PLAN = "size int, first long, n long, per long, container long, offset int"
 
 
@@ -68,16 +68,19 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[tupl
     return rows, made
 
 
-def _ranked(items: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """``rank`` from 0 within ``by``.  Counts come first, so no task sorts a whole hot length."""
-    parted = items.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(PARTS)))
+def _ranked(items: DataFrame, by: str, order: list[str], histogram: dict[int, int], part: int) -> DataFrame:
+    """``rank`` from 0 within ``by``, whose values and counts are ``histogram``.  A value with more than ``part`` items is
+    counted in as many parts as that takes, so no task sorts a whole hot length."""
+    parts = items.sparkSession.createDataFrame([(v, -(-n // part)) for v, n in histogram.items()], "_by int, _parts int")
+    # a row for each length, whatever the number of items
+    parted = items.join(F.broadcast(parts), F.col(by) == F.col("_by")).withColumn("_part", F.pmod(F.xxhash64(*order), F.col("_parts"))).drop("_by", "_parts")
     sums = parted.groupBy(by, "_part").agg(F.count("*").alias("_n"))
     before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = parted.withColumn("_in", F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order)) - 1)
     return inside.join(before.select(by, "_part", "_before"), [by, "_part"]).withColumn("rank", F.col("_before") + F.col("_in")).drop("_part", "_before", "_in")
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, capacity: int, part: int = PART) -> DataFrame:
     """``(key, piece, size, container, offset)``: where each item lies.
 
     Only an item longer than ``capacity`` is split, into pieces that fill a
@@ -95,7 +98,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     histogram = {r["size"]: r["n"] for r in pieces.filter("size > 0").groupBy("size").agg(F.count("*").alias("n")).collect()}
     rows, _ = plan_containers(histogram, capacity)
     plan = items.sparkSession.createDataFrame(rows, PLAN)
-    ranked = _ranked(pieces.filter("size > 0"), "size", ["_key", "piece"])
+    ranked = _ranked(pieces.filter("size > 0"), "size", ["_key", "piece"], histogram, part)
     placed = ranked.join(
         # a few rows for each length up to the capacity, whatever the number of items
         F.broadcast(plan.select(F.col("size").alias("_size"), "first", "n", "per", F.col("container").alias("_from"), F.col("offset").alias("_at"))),

@@ -177,9 +177,20 @@ def autocorrelation(values: Sequence[float], lag: int = 1) -> float:
     return float(v[:-lag] @ v[lag:]) / d if d > 1e-9 else 0.0
 
 
+def _quantile(ordered: list[int], q: float) -> float:
+    """Of sorted values, between two of them in proportion."""
+    at = q * (len(ordered) - 1)
+    i = int(at)
+    return ordered[i] + (at - i) * (ordered[min(i + 1, len(ordered) - 1)] - ordered[i])
+
+
 def measure(text: str) -> dict[str, float | int | str]:
     """All statistics of one whole text; see ``SCHEMA``.  The text is taken in its plain
     character form, so that look-alike letters count as the letters they show."""
+    return kinds_of([_measured(text)])[0]
+
+
+def _measured(text: str) -> dict[str, float | int | str]:
     size = len(text)
     if _OTHER.search(text):
         text = plain_form(text).translate(_SHOWN)
@@ -191,8 +202,9 @@ def measure(text: str) -> dict[str, float | int | str]:
     letters = sum(map(len, words))
     common = [sum(w.lower() in COMMON_ENGLISH for w in _LATIN.findall(s)) + len(_COMMON_THAI.findall(s)) for s in bare]
     indents = [len(x) - len(x.lstrip()) for x in lines]
-    lengths = np.array([len(x.rstrip()) for x in lines] or [0], dtype=float)
-    width = float(np.percentile(lengths, 90))
+    sizes = [len(x.rstrip()) for x in lines] or [0]
+    lengths, ordered = np.array(sizes, dtype=float), sorted(sizes)
+    mean_length, spread, width = float(lengths.mean()), float(lengths.std()), _quantile(ordered, 0.9)
     chars = max(1, sum(map(len, bare)))
     table, sign = _delimited(lines) if lines else (0.0, "")
     column, cells = _columns(lines) if lines else (0.0, 0.0)
@@ -204,8 +216,8 @@ def measure(text: str) -> dict[str, float | int | str]:
         "table_share": table, "column_share": column, "cells_share": cells,
         "length_lag_1": autocorrelation(lengths, 1), "length_lag_2": autocorrelation(lengths, 2), "length_lag_3": autocorrelation(lengths, 3),
         "indent_lag_1": lags[0], "indent_periodicity": max(lags), "indent_share": mean([i > 0 for i in indents]),
-        "line_length": float(lengths.mean()) / 100, "line_spread": float(lengths.std()) / 100, "line_variation": float(lengths.std() / (lengths.mean() + 1)),
-        "full_share": float((lengths >= 0.8 * width).mean()) if n else 0.0, "line_median": float(np.median(lengths)) / 100, "line_longest": min(float(lengths.max()), 400.0) / 100,
+        "line_length": mean_length / 100, "line_spread": spread / 100, "line_variation": spread / (mean_length + 1),
+        "full_share": mean([k >= 0.8 * width for k in sizes]), "line_median": _quantile(ordered, 0.5) / 100, "line_longest": min(ordered[-1], 400) / 100,
         "mean_word_length": letters / len(words) if words else 0.0, "words_a_line": len(words) / max(1, n) / 10,
         "symbol_ratio": 1 - letters / len(solid) if solid else 0.0, "digit_ratio": sum(map(str.isdigit, solid)) / max(1, len(solid)),
         "stop_line_share": mean([bool(_STOP.search(s)) for s in bare]), "common_word_share": 10 * sum(common) / max(1, letters),
@@ -214,7 +226,7 @@ def measure(text: str) -> dict[str, float | int | str]:
         "small_share": mean([s[0].islower() for s in bare]), "letter_end_share": mean([s[-1].isalpha() for s in bare]), "odd_word_share": odd_word_share(text), "alike_start_share": alike_start_share(bare),
         "alike_end_share": alike_end_share(bare), "alike_values_share": alike_values_share(bare),
     }
-    return out | {"kind": kind_of(out) if solid else "blank"}
+    return out | {"blank": not solid}
 
 
 def _terms(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
@@ -229,7 +241,7 @@ def fit(features: np.ndarray, kinds: Sequence[str], steps: int = 3_000, rate: fl
     if len(x) > SAMPLE:
         at = np.random.RandomState(0).permutation(len(x))[:SAMPLE]
         x, y = x[at], y[at]
-    mean, spread = x.mean(0), x.std(0) + 1e-9
+    mean, spread = x.mean(0), np.maximum(x.std(0), 1e-3)
     a, target = _terms(x, mean, spread), np.eye(len(KINDS))[y]
     w = np.zeros((a.shape[1], len(KINDS)))
     v = np.zeros_like(w)
@@ -243,12 +255,13 @@ def fit(features: np.ndarray, kinds: Sequence[str], steps: int = 3_000, rate: fl
 _MODEL = {k: np.array(v) for k, v in json.loads((Path(__file__).parent / "text_quality.json").read_text()).items()}
 
 
-def kind_of(m: dict) -> str:
-    """``prose``, ``list``, ``table`` or ``junk``, whichever the model finds likeliest."""
-    x = np.array([m[f] for f in FEATURES])
-    scores = _MODEL["weights"] @ _terms(x, _MODEL["mean"], _MODEL["spread"])
-    best = int(scores.argmax())
-    return KINDS[best + 1] if scores[best] > 0 else KINDS[0]
+def kinds_of(many: list[dict]) -> list[dict]:
+    """The statistics of texts with their ``kind``: ``blank``, or whichever of ``KINDS`` the model finds likeliest."""
+    if not many:
+        return []
+    scores = _terms(np.array([[m[f] for f in FEATURES] for m in many]), _MODEL["mean"], _MODEL["spread"]) @ _MODEL["weights"].T
+    best = np.concatenate([np.zeros((len(many), 1)), scores], axis=1).argmax(1)
+    return [{k: v for k, v in m.items() if k != "blank"} | {"kind": "blank" if m["blank"] else KINDS[i]} for m, i in zip(many, best, strict=True)]
 
 
 SCHEMA = {"n_chars": pa.int32(), "n_words": pa.int32(), "n_lines": pa.int32(), "delimiter": pa.string()} | dict.fromkeys(FEATURES, pa.float64()) | {"kind": pa.string()}
@@ -262,7 +275,7 @@ def text_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [measure(t or "") for t in batch.column(1).to_pylist()]
+            found = kinds_of([_measured(t or "") for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([m[k] for m in found], t) for k, t in SCHEMA.items())], [key, *SCHEMA])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, {_DDL}")

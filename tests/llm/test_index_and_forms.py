@@ -2,9 +2,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from loomfold.llm import canonical_form, spans
+from loomfold.llm import canonical_form, packing, spans, text_quality
 from loomfold.llm.expansion import expanded
 
 
@@ -80,3 +81,39 @@ def test_repair_towards_the_dominant_script_needs_the_corpus(spark):
     assert [(r.id_a, r.id_b) for r in canonical_form.same_look(df).collect()] == [(1, 2)]
     got = {r.id: r.text for r in canonical_form.canonical_text(df).collect()}
     assert got == {1: rows[1][2], 2: rows[1][2], 3: rows[2][2], 4: None, 5: ""}
+
+
+def test_ranks_of_a_hot_length_in_parts(spark):
+    rows = spark.range(5000).selectExpr("id AS k", "CASE WHEN id % 3 = 0 THEN 7 ELSE CAST(id % 11 AS INT) END AS n")
+    got = packing.pack(rows, "k", "n", 20, part=100).filter("size > 0").collect()
+    used: dict = {}
+    for r in got:
+        used.setdefault(r.container, []).append((r.offset, r.offset + r.size))
+    for spans_ in used.values():
+        spans_.sort()
+        assert spans_[-1][1] <= 20 and all(a[1] <= b[0] for a, b in zip(spans_, spans_[1:], strict=False))
+    assert len(got) == rows.filter("n > 0").count()
+
+
+def test_model_is_fitted_on_labelled_texts():
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 9)))
+    make = {
+        "table": lambda: "\n".join(f"{word()}\t{r.randrange(99)}\t{word()}\t{r.randrange(9)}" for _ in range(r.randrange(4, 20))),
+        "list": lambda: "\n".join(f"- {word()} {word()}" for _ in range(r.randrange(4, 20))),
+        "prose": lambda: "\n".join(" ".join(["the", word(), "of", word(), "is", word(), "and", word(), "in", "the", word()] * 2) + "." for _ in range(r.randrange(2, 9))),
+        "junk": lambda: "".join(r.choice("~^<>=;|*+#�") for _ in range(200)),
+    }
+    data = [(k, f()) for k, f in make.items() for _ in range(60)]
+    features = lambda t: [text_quality.measure(t)[f] for f in text_quality.FEATURES]
+    model = {k: np.array(v) for k, v in text_quality.fit(np.array([features(t) for _, t in data]), [k for k, _ in data], steps=300).items()}
+    fresh = [(k, f()) for k, f in make.items() for _ in range(20)]
+    scores = text_quality._terms(np.array([features(t) for _, t in fresh]), model["mean"], model["spread"]) @ model["weights"].T
+    best = np.concatenate([np.zeros((len(fresh), 1)), scores], axis=1).argmax(1)
+    assert np.mean([text_quality.KINDS[i] == k for (k, _), i in zip(fresh, best, strict=True)]) > 0.97
+
+
+def test_periods_and_columns():
+    assert text_quality.autocorrelation([0, 4, 0, 4, 0, 4, 0, 4], 2) > 0.7 > 0 > text_quality.autocorrelation([0, 4, 0, 4, 0, 4, 0, 4], 1)
+    m = text_quality.measure("ab   cd   ef\ngh   ij   kl\nmn   op   qr")
+    assert m["column_share"] == 1 and m["cells_share"] == 1
