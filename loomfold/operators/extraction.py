@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,56 +10,48 @@ from loomfold.functions import parsers
 from loomfold.functions.text import CODE, squeeze
 
 #: Forms in course lists.
-_CODE = re.compile(r"(?<!\w)\d{8}(?!\w)")
-_CREDITS = re.compile(r"(\d)\s*\((\d)-(\d)-(\d+)\)")
-_PLAN = re.compile(r"ปีที่\s*(\d)\s*ภาคการศึกษาที่\s*(\d)")
-_ENGLISH = re.compile(r"[A-Z][A-Z\s\-&,()]+(?:[A-Z)]|\d)")
-_THAI = re.compile(r"[ก-๙\s\-/().]+")
+_CREDITS = r"(\d)\s*\((\d)-(\d)-(\d+)\)"
+_PLAN = r"ปีที่\s*(\d)\s*ภาคการศึกษาที่\s*(\d)"
+_ENGLISH = r"([A-Z][A-Z\s\-&,()]+(?:[A-Z)]|\d))"
+_THAI = r"^([ก-๙\s\-/().]+)"
 #: Lines after a code that may belong to its course; characters after a marker that may name requirements.
 AFTER, REACH = 5, 250
-COURSE = "key long, ord int, code string, name_th string, name_en string, total int, lecture int, lab int, self_study int, year int, semester int"
-
-
-def courses_in(text: str) -> Iterator[tuple]:
-    """Courses of a text: a line with a code and the lines up to the next one, if they hold credits and a name.
-    Year and semester are those named last."""
-    lines = [x.strip() for x in text.split("\n")]
-    first = _PLAN.search(text)
-    year, semester = map(int, first.groups()) if first else (None, None)
-    at, n = 0, 0
-    while at < len(lines):
-        code = _CODE.search(lines[at])
-        if not code:
-            plan = _PLAN.search(lines[at])
-            if plan:
-                year, semester = map(int, plan.groups())
-            at += 1
-            continue
-        end = next((k for k in range(at + 1, min(at + 1 + AFTER, len(lines))) if _CODE.match(lines[k]) and lines[k] != lines[at]), min(at + 1 + AFTER, len(lines)))
-        block = " ".join(x for x in lines[at:end] if x)
-        at = end
-        found = _CREDITS.search(block)
-        if not found:
-            continue
-        english = next((m.group().strip() for m in _ENGLISH.finditer(block) if len(m.group().strip()) > 5), "")
-        thai = _THAI.match(block[block.find(code.group()) + 8 :].strip())
-        name = thai.group().strip() if thai and len(thai.group().strip()) >= 3 else ""
-        if name or english:
-            yield n, code.group(), (name or english)[:255], english[:255], *map(int, found.groups()), year, semester
-            n += 1
 
 
 def course_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``COURSE`` rows of all texts; a text is one pass, as year and semester carry over its lines."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(k, *c) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for c in courses_in(t or "")]
-            cols = list(zip(*rows, strict=True)) or [[]] * 11
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), *[pa.int32()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [f.split()[0] for f in COURSE.split(", ")])
+    """``(key, ord, code, name_th, name_en, total, lecture, lab, self_study, year, semester)``: the courses of all texts.
 
-    return df.select(F.col(key).cast("long").alias("key"), text).filter(F.col(text).rlike("[0-9]{8}")).mapInArrow(run, COURSE)
+    A course begins at a line that begins with a code, or that has one where none
+    of the ``AFTER`` lines before has; the lines behind it belong to it up to the
+    next beginning, ``AFTER`` at most.  It needs credits and a name.  Year and
+    semester are those named last before it, or else first in the text.  Null
+    texts and texts without a code give none.
+    """
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    rows = df.filter(F.col(text).rlike("[0-9]{8}")).select(F.col(key).cast("long").alias("key"), F.posexplode(F.transform(F.split(F.col(text), "\n"), trim)).alias("line", "x"))
+    order = Window.partitionBy("key").orderBy("line")
+    holds, begins = F.col("x").rlike(CODE), F.col("x").rlike(f"^{CODE}")
+    near = F.max(holds.cast("int")).over(order.rowsBetween(-AFTER, -1))
+    last = F.last(F.when(begins, F.col("x")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("start", (begins & ~F.col("x").eqNullSafe(last)) | (holds & ~begins & (F.coalesce(near, F.lit(0)) == 0)))
+    plan = F.nullif(F.regexp_extract("x", _PLAN, 0), F.lit(""))
+    whole = Window.partitionBy("key").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = marked.withColumn("block", F.sum(F.col("start").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "plan", F.coalesce(F.last(plan, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.first(plan, ignorenulls=True).over(whole))
+    ).filter("block > 0")
+    blocks = placed.groupBy("key", "block").agg(F.min("line").alias("at"), F.min_by("plan", "line").alias("plan"), F.min_by("x", "line").alias("first"), F.sort_array(F.collect_list(F.struct("line", "x"))).alias("l"))
+    # a block may be long, its course is not
+    body = F.array_join(F.transform(F.filter("l", lambda r: (r["line"] <= F.col("at") + (AFTER - 1)) & (r["x"] != "")), lambda r: r["x"]), " ")
+    read = blocks.select("key", "block", "plan", F.regexp_extract("first", f"({CODE})", 1).alias("code"), body.alias("b")).filter(F.col("b").rlike(_CREDITS))
+    behind = trim(F.expr("substring(b, instr(b, code) + 8)"))
+    english = F.coalesce(F.get(F.filter(F.transform(F.regexp_extract_all("b", F.lit(_ENGLISH), F.lit(1)), trim), lambda e: F.length(e) > 5), F.lit(0)), F.lit(""))
+    named = read.withColumn("thai", trim(F.regexp_extract(behind, _THAI, 1))).withColumn("english", english).filter("length(thai) >= 3 OR english <> ''")
+    number = lambda c, p, i: F.nullif(F.regexp_extract(c, p, i), F.lit("")).cast("int")
+    return named.select(
+        "key", (F.row_number().over(Window.partitionBy("key").orderBy("block")) - 1).alias("ord"), "code", F.substring(F.when(F.length("thai") >= 3, F.col("thai")).otherwise(F.col("english")), 1, 255).alias("name_th"),
+        F.substring("english", 1, 255).alias("name_en"), *[number("b", _CREDITS, i + 1).alias(n) for i, n in enumerate(("total", "lecture", "lab", "self_study"))],
+        number("plan", _PLAN, 1).alias("year"), number("plan", _PLAN, 2).alias("semester"),
+    )
 
 
 def first_course(rows: DataFrame, version: str) -> DataFrame:
@@ -79,11 +67,15 @@ def first_course(rows: DataFrame, version: str) -> DataFrame:
 def requirement_rows(df: DataFrame, key: str, text: str, marker: str = "วิชาบังคับก่อน") -> DataFrame:
     """``(key, ord, code, codes, raw)`` for each marker: the last code before it, and the other codes between it and
     the next credits, at most ``REACH`` characters on.  Built-in expressions only; a marker without a code before it has no row."""
-    parts = df.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), marker)).alias("ord", "part"), F.split(F.col(text), marker).alias("all"))
+    parts = df.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), marker)).alias("ord", "part"))
     code = F.lit(f"({CODE})")
-    before = F.array_join(F.slice("all", 1, F.col("ord")), marker)
-    window = F.split(F.substring(F.concat(F.lit(marker), F.array_join(F.slice("all", F.col("ord") + 1, F.size("all")), marker)), 1, REACH), r"\d\s*\(\d-\d-\d+\)")[0]
-    rows = parts.filter("ord > 0").select("key", "ord", F.try_element_at(F.regexp_extract_all(before, code, F.lit(1)), F.lit(-1)).alias("code"), window.alias("w"))
+    order = Window.partitionBy("key").orderBy("ord")
+    own = F.try_element_at(F.regexp_extract_all("part", code, F.lit(1)), F.lit(-1))
+    before = F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # the markers themselves fill the reach after so many parts
+    ahead = F.collect_list(F.substring("part", 1, REACH)).over(order.rowsBetween(0, REACH // len(marker)))
+    reach = F.substring(F.concat(F.lit(marker), F.array_join(ahead, marker)), 1, REACH)
+    rows = parts.select("key", "ord", before.alias("code"), F.split(reach, r"\d\s*\(\d-\d-\d+\)")[0].alias("w")).filter("ord > 0")
     found = rows.filter("code IS NOT NULL").withColumn("codes", F.array_distinct(F.array_remove(F.regexp_extract_all("w", code, F.lit(1)), F.col("code"))))
     none = (F.size("codes") == 0) & F.lower("w").rlike("ไม่มี|none|-")
     return found.select("key", "ord", "code", "codes", F.when(none, "ไม่มี").otherwise(F.coalesce(F.nullif(F.substring(squeeze(F.col("w")), 1, 200), F.lit("")), F.lit("ไม่มี"))).alias("raw"))

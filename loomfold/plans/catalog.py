@@ -34,8 +34,9 @@ R.statement(
 )
 R.statement(
     "course_by_name",
-    """SELECT c.course_id, c.code, c.version_id, c.name_th, c.name_en FROM {course} c
-    JOIN (SELECT name_en AS name FROM {course} WHERE name_en <> '' GROUP BY name_en HAVING COUNT(*) >= :least) n ON c.name_en = n.name OR c.name_th = n.name""",
+    """WITH n AS (SELECT name_en AS name FROM {course} WHERE name_en <> '' GROUP BY name_en HAVING COUNT(*) >= :least)
+    SELECT c.course_id, c.code, c.version_id, c.name_th, c.name_en FROM {course} c JOIN n ON c.name_en = n.name
+    UNION SELECT c.course_id, c.code, c.version_id, c.name_th, c.name_en FROM {course} c JOIN n ON c.name_th = n.name""",
     least=3,
 )
 R.statement(
@@ -76,7 +77,7 @@ R.statement(
 R.statement(
     "provenance_of_hash",
     """SELECT k.chunk_id, k.content_sha256, k.page_start, d.relative_path, p.page_id FROM {chunk} k JOIN {document} d ON d.document_id = k.document_id
-    JOIN {page} p ON p.document_id = k.document_id AND p.page_number = k.page_start""",
+    JOIN {page} p ON p.document_id = k.document_id AND p.page_number = k.page_start WHERE k.content_sha256 = (SELECT min(content_sha256) FROM {chunk})""",
 )
 R.statement(
     "document_list",
@@ -85,7 +86,7 @@ R.statement(
 )
 R.statement(
     "page_text",
-    "SELECT document_id, page_number, length(page_text) AS n_chars FROM {page} WHERE status = :status AND page_number = :page",
+    "SELECT document_id, page_number, page_text FROM {page} WHERE status = :status AND page_number = :page",
     status="page_complete",
     page=1,
 )

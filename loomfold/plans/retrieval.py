@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomfold.operators import relational, retrieval
 from loomfold.plans.registry import Registry
+from loomfold.sources.shared import shared_path
 from loomfold.sources.tables import table
 
 R = Registry()
@@ -43,6 +44,13 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top_k(_lexical(spark, d), "doc_id", 100).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@R.add("bm25_by_index", f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM lex")
+def bm25_by_index(spark: SparkSession, d: str) -> DataFrame:
+    at = shared_path(spark, "index")
+    retrieval.write_index(_docs(spark, d), "doc_id", "text", at)
+    return retrieval.bm25_by_index(spark, at, "doc_id", QUERY).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @R.add("bm25_in_scope", "WITH " + _BM25 + " SELECT l.doc_id, round(l.score, 6) AS score FROM lex l JOIN documents d ON d.doc_id = l.doc_id WHERE d.lang = 'en' ORDER BY l.score DESC, l.doc_id LIMIT 50")
 def bm25_in_scope(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "text", "lang")

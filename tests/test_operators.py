@@ -205,8 +205,8 @@ def test_courses_and_requirements(spark):
     from loomfold.operators import extraction
 
     text_ = "ปีที่ 2 ภาคการศึกษาที่ 1\n06016101 โครงสร้างข้อมูล\nDATA STRUCTURES\n3(3-0-6)\nวิชาบังคับก่อน : 06016100 3(3-0-6)\n06016102 ไม่มีหน่วยกิต\n06016104\n\n\n\n\n\nปีที่ 3 ภาคการศึกษาที่ 2\n06016103 ฐานข้อมูล DATABASE SYSTEMS 3 (2-2-5)"
-    rows = list(extraction.courses_in(text_))
-    assert [(r[1], r[2], r[3], r[4:8], r[8:]) for r in rows] == [("06016101", "โครงสร้างข้อมูล", "DATA STRUCTURES 3", (3, 3, 0, 6), (2, 1)), ("06016103", "ฐานข้อมูล", "DATABASE SYSTEMS 3", (3, 2, 2, 5), (3, 2))]
+    rows = extraction.course_rows(spark.createDataFrame([(1, text_), (2, None), (3, "no code")], "k long, t string"), "k", "t").orderBy("ord").collect()
+    assert [(r[2], r[3], r[4], r[5:9], r[9:]) for r in rows] == [("06016101", "โครงสร้างข้อมูล", "DATA STRUCTURES 3", (3, 3, 0, 6), (2, 1)), ("06016103", "ฐานข้อมูล", "DATABASE SYSTEMS 3", (3, 2, 2, 5), (3, 2))]
     df = spark.createDataFrame([(1, text_), (2, None), (3, "วิชาบังคับก่อน 06016101"), (4, "06016105 วิชาบังคับก่อน ไม่มี")], "k long, t string")
     got = {(r.key, r.code): (r.codes, r.raw) for r in extraction.requirement_rows(df, "k", "t").collect()}
     assert got[(1, "06016101")][0] == ["06016100"] and got[(4, "06016105")] == ([], "ไม่มี") and not [k for k in got if k[0] in (2, 3)]
