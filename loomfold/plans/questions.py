@@ -156,7 +156,7 @@ def elective_slots(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("foreign_institutions")
 def foreign_institutions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "stage_result").select("stage_result_id", questions.foreign_institution(F.col("text"), "มหาวิทยาลัยตัวอย่าง").alias("name")).filter("name IS NOT NULL")
+    return table(spark, d, "stage_result").select("stage_result_id", questions.foreign_institution(F.col("text"), "สถาบันตัวอย่าง").alias("name")).filter("name IS NOT NULL")
 
 
 @R.add(

@@ -28,6 +28,42 @@ def course_json(spark: SparkSession, path: str) -> DataFrame:
     return flat.filter("code IS NULL OR NOT startswith(code, 'หมายเหตุ')")
 
 
+GOLD = (
+    "gold_id int, item_kind string, kind string, document_id string, page int, page_number int, question_level string, version struct<program: string, curriculum_year: int, edition_status: string>, "
+    "curriculum_version struct<program: string, curriculum_year: int, edition_status: string>, payload map<string, string>, expected map<string, string>, expected_citations array<struct<document_id: string, page: int>>, author string, created_date string, review_method string"
+)
+#: What an item of each kind must have.
+GOLD_NEEDS = {"page_text": ["document_id", "page"], "table_cell": ["document_id", "page"], "question": ["question_level"]}
+
+
+def gold_set(spark: SparkSession, path: str) -> DataFrame:
+    """Gold items of a JSON file or a folder of them: a list, or an object with ``items``.  Other names of fields are accepted
+    (``kind``, ``page_number``, ``curriculum_version``); a version without all its parts is null with ``warning`` set;
+    ``problem`` says what an item lacks, null where it is whole."""
+    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path)
+    body = F.trim("value")
+    items = F.when(body.startswith("["), F.from_json(body, f"array<struct<{_struct(GOLD)}>>")).otherwise(F.from_json(body, f"struct<items: array<struct<{_struct(GOLD)}>>>")["items"])
+    rows = text.select(F.explode(items).alias("i")).select("i.*")
+    version = F.coalesce("version", "curriculum_version")
+    whole = version["program"].isNotNull() & version["curriculum_year"].isNotNull() & version["edition_status"].isNotNull()
+    read = rows.select(
+        "gold_id", F.coalesce("item_kind", "kind").alias("item_kind"), "document_id", F.coalesce("page", "page_number").alias("page"), "question_level", F.when(whole, version).alias("version"),
+        (version.isNotNull() & ~F.coalesce(whole, F.lit(False))).alias("warning"), "payload", "expected", "expected_citations", "author", "created_date", "review_method",
+    )
+    lacks = F.when(F.col("item_kind").isNull() | ~F.col("item_kind").isin(*GOLD_NEEDS), F.lit("item_kind"))
+    for kind, needed in GOLD_NEEDS.items():
+        for n in needed:
+            lacks = lacks.when((F.col("item_kind") == kind) & F.col(n).isNull(), n)
+    return read.withColumn("problem", lacks)
+
+
+def _struct(ddl: str) -> str:
+    """The fields of a schema as those of a struct."""
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(ddl).simpleString()[len("struct<") : -1]
+
+
 def vectors(df: DataFrame, blob: str, dim: int, out: str = "vector") -> DataFrame:
     """Little-endian float32 blobs as arrays; blobs of another length are left out.  Built-in expressions only."""
     size = df.filter(F.length(blob) == 4 * dim)
