@@ -21,6 +21,27 @@ def cycle_members(pairs: DataFrame) -> DataFrame:
     return pairs.join(back, ["grp", "node", "anc"]).groupBy("grp", "node").agg(F.min("anc").alias("cycle"))
 
 
+def cycle_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(grp, node, path)``: for the first node of each cycle a shortest way from it back to it, as an array that begins and
+    ends with it; of equal ways the one with the first names.  A round adds a node to all ways, and there are as
+    many as the longest of these shortest cycles has links."""
+    pairs = checkpoint(pairs)
+    first = cycle_members(pairs).filter("node = cycle").select("grp", "node")
+    left = pairs.select("grp", F.col("node").alias("at"), F.col("anc").alias("node"), "hops")
+    open_ = checkpoint(first.join(cycle_nodes(pairs), ["grp", "node"]).select("grp", "node", F.col("node").alias("at"), "hops", F.array("node").alias("path")))
+    done = open_.limit(0).select("grp", "node", "path")
+    step = edges.select("grp", F.col("node").alias("at"), F.col("parent").alias("to"))
+    while not open_.isEmpty():
+        ahead = open_.join(step, ["grp", "at"]).select("grp", "node", F.col("to").alias("at"), (F.col("hops") - 1).alias("hops"), F.concat("path", F.array("to")).alias("path"))
+        home = ahead.filter("hops = 0 AND at = node")
+        on = ahead.filter("hops > 0").join(left.withColumnRenamed("hops", "need"), ["grp", "at", "node"]).filter("need = hops").drop("need")
+        best = home.unionByName(on).groupBy("grp", "node").agg(F.min_by(F.struct("at", "hops", "path"), F.col("at")).alias("b")).select("grp", "node", "b.*")
+        best = checkpoint(best)
+        done = done.unionByName(best.filter("hops = 0").select("grp", "node", "path"))
+        open_ = best.filter("hops > 0")
+    return done
+
+
 def chain_order(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(grp, node, level, ord)``: every node after all it requires; nodes on or behind a cycle do not come out.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfold.operators import hierarchy, packed_values
-from loomfold.plans import catalog, evaluate, graphs, ingest, questions, retrieval, streams, texts
+from loomfold.plans import catalog, evaluate, graphs, ingest, questions, retrieval, store, streams, texts
 from loomfold.sources.tables import table
 
 
@@ -38,7 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return found | {"p1_found": p1_found, "p4_found": p4_found, "p4_hierarchy": p4_hierarchy}
 
 
-MODULES = (catalog, retrieval, texts, ingest, graphs, evaluate, questions, streams)
+MODULES = (catalog, retrieval, texts, ingest, graphs, evaluate, questions, store, streams)
 
 P4_SQL = """
 WITH RECURSIVE e AS (SELECT DISTINCT source_path, code, unnest(prerequisite_codes) AS required FROM normalized_course WHERE code IS NOT NULL AND source_path IS NOT NULL),

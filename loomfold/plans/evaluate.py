@@ -39,7 +39,14 @@ def question_year(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", answers.study_year(F.col("text")).alias("year"))
 
 
-@R.add("version_resolve")
+@R.add(
+    "version_resolve",
+    """WITH v AS (SELECT DISTINCT program, curriculum_year, edition_status FROM document WHERE program IS NOT NULL), q AS (SELECT chunk_id, concat_ws(' ', heading, program, CAST(curriculum_year AS VARCHAR)) AS q FROM chunk),
+    t AS (SELECT chunk_id, list_filter(regexp_extract_all(q, '[0-9]+'), lambda y: regexp_full_match(y, '25[0-9][0-9]')) AS years, regexp_extract_all(upper(q), '[A-Z][A-Z_]*') AS names FROM q),
+    p AS (SELECT DISTINCT chunk_id, years, name AS program FROM (SELECT chunk_id, years, unnest(names) AS name FROM t) WHERE name IN (SELECT program FROM v)),
+    a AS (SELECT p.chunk_id, v.* FROM p JOIN v ON v.program = p.program WHERE len(years) = 0 OR list_contains(years, CAST(v.curriculum_year AS VARCHAR))),
+    b AS (SELECT DISTINCT t.chunk_id, v.* FROM t JOIN v ON list_contains(t.years, CAST(v.curriculum_year AS VARCHAR)) WHERE t.chunk_id NOT IN (SELECT chunk_id FROM p)) SELECT DISTINCT * FROM a UNION SELECT * FROM b""",
+)
 def version_resolve(spark: SparkSession, d: str) -> DataFrame:
     versions = table(spark, d, "document").select("program", "curriculum_year", "edition_status").filter("program IS NOT NULL").distinct()
     questions = table(spark, d, "chunk").select("chunk_id", F.concat_ws(" ", "heading", "program", F.col("curriculum_year").cast("string")).alias("q"))

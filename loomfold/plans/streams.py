@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomfold.plans import graphs
 from loomfold.plans.registry import Registry
 from loomfold.sources.shared import shared_path
 from loomfold.sources.tables import table
@@ -36,12 +37,15 @@ def stream_resume(spark: SparkSession, d: str) -> DataFrame:
     return events.current(spark, out, ["event_id"], "ts", rows.schema).select("event_id", "user_id", "value")
 
 
-@R.add("stream_windows")
+@R.add(
+    "stream_windows",
+    """SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""",
+)
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return _finish(spark, events.windowed_counts(_stream(spark, d, "events"), "ts", "event_type"), "windows")
 
 
-@R.add("stream_halting")
+@R.add("stream_halting", f"SELECT user_id, CAST(steps AS INTEGER) AS steps, reason FROM ({graphs.R.sql['halter_replay']}) WHERE reason IS NOT NULL")
 def stream_halting(spark: SparkSession, d: str) -> DataFrame:
     rows = _stream(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("value") / 100.0).alias("s"))
     return _finish(spark, events.halting(rows, "user_id", "at", "s", 0.05), "halting")

@@ -148,7 +148,10 @@ def replacement_quality(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "page").filter("length(page_text) > 0").select("page_id", F.round(1 - text.occurrences(F.col("page_text"), "�") / F.length("page_text"), 6).alias("q"))
 
 
-@R.add("heading_segments", None)
+@R.add(
+    "heading_segments",
+    f"""SELECT chunk_id, CAST(sum(CASE WHEN regexp_matches(trim(x, ' '), '^(?:{pages.HEADING.pattern})') THEN 1 ELSE 0 END) AS BIGINT) AS n_headings, count(*) AS n_lines FROM (SELECT chunk_id, unnest(string_split(content_text, chr(10))) AS x FROM chunk) GROUP BY chunk_id""",
+)
 def heading_segments(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "chunk").select("chunk_id", F.posexplode(F.split("content_text", "\n")).alias("line", "text"))
     return pages.header_segments(lines, ["chunk_id"], "line", "text").groupBy("chunk_id").agg(F.max("segment").alias("n_headings"), F.count("*").alias("n_lines"))
