@@ -108,7 +108,8 @@ def explode_packed(df: DataFrame, key: str, fields: Sequence[str], least: int =
     # most cells hold one plain code, one credits text or one word: they need no parsing
     single = F.col("_c.cell").rlike(r"^(?:\s*|\d{8}|\d{5}xxx|\d\(\d{1,2}-\d{1,2}-\d{1,2}\)|[\p{L}\p{M}]+|-)$")
     wide = cells.filter(F.col("_c.cell").isNotNull() & (F.lit(least > 1) & ~single | F.lit(least <= 1)))
-    valued = wide.select("_key", "_c.field", packed_values(F.col("_c.cell")).alias("_v")).filter(F.size("_v") >= least)
-    return valued.select(F.col("_key").alias(key), "field", F.posexplode("_v").alias("pos", "value")).select(
+    # the array is bound once; an outer explode keeps the optimizer from taking it again to look for empty ones
+    enough = F.transform(F.array(packed_values(F.col("_c.cell"))), lambda v: F.when(F.size(v) >= least, v))
+    return wide.select(F.col("_key").alias(key), "_c.field", F.posexplode_outer(F.get(enough, F.lit(0))).alias("pos", "value")).filter("pos IS NOT NULL").select(
         key, "field", (F.col("pos") + 1).cast("int").alias("pos"), "value"
     )
