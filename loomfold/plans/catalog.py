@@ -17,17 +17,25 @@ R = Registry()
 
 _VERSION = "(SELECT DISTINCT version_id, program, curriculum_year, edition_status FROM {document} WHERE version_id IS NOT NULL)"
 
+#: Where a version comes from: its first document.
+_SOURCE = "(SELECT version_id, MIN(relative_path) AS relative_path FROM {document} WHERE version_id IS NOT NULL GROUP BY version_id)"
+_CODE = "(SELECT MIN(code) FROM {course} WHERE prerequisite_json <> '[]')"
+
 R.statement(
     "course_credits",
     f"""SELECT c.course_id, c.code, c.name_th, c.name_en, c.credits_total, c.credits_lecture, c.credits_lab, c.credits_self_study,
-    c.year, c.semester, v.program, v.curriculum_year, v.edition_status
-    FROM {{course}} c JOIN {_VERSION} v ON v.version_id = c.version_id WHERE v.edition_status = :edition AND c.credits_total IS NOT NULL""",
+    c.year, c.semester, v.program, v.curriculum_year, v.edition_status, s.relative_path
+    FROM {{course}} c JOIN {_VERSION} v ON v.version_id = c.version_id JOIN {_SOURCE} s ON s.version_id = c.version_id WHERE c.code = {_CODE} ORDER BY v.program, v.curriculum_year, c.course_id""",
+)
+R.statement(
+    "course_credits_of_edition",
+    f"""SELECT c.course_id, c.code, c.name_th, c.credits_total, v.program, v.curriculum_year FROM {{course}} c JOIN {_VERSION} v ON v.version_id = c.version_id WHERE v.edition_status = :edition AND c.credits_total IS NOT NULL""",
     edition="current",
 )
 R.statement(
     "course_field",
     f"""SELECT c.course_id, c.code, f.field, CASE f.field WHEN 'credits' THEN c.credits_raw WHEN 'category' THEN c.category WHEN 'prerequisite' THEN c.prerequisite_raw ELSE c.note END AS value,
-    v.program FROM {{course}} c JOIN {_VERSION} v ON v.version_id = c.version_id
+    v.program, s.relative_path FROM {{course}} c JOIN {_VERSION} v ON v.version_id = c.version_id JOIN {_SOURCE} s ON s.version_id = c.version_id
     JOIN (SELECT 'credits' AS field UNION ALL SELECT 'category' UNION ALL SELECT 'prerequisite' UNION ALL SELECT 'note') f ON f.field = :field WHERE v.edition_status = :edition""",
     field="category",
     edition="current",
@@ -64,8 +72,8 @@ R.statement(
 )
 R.statement(
     "prerequisite_of_course",
-    f"""SELECT c.course_id, c.code, c.prerequisite_raw, v.program, v.curriculum_year FROM {{course}} c JOIN {_VERSION} v ON v.version_id = c.version_id
-    WHERE c.prerequisite_raw IS NOT NULL AND c.prerequisite_raw <> '' AND c.prerequisite_json <> :none""",
+    f"""SELECT c.course_id, c.code, c.prerequisite_raw, c.prerequisite_json, v.program, v.curriculum_year, s.relative_path FROM {{course}} c JOIN {_VERSION} v ON v.version_id = c.version_id JOIN {_SOURCE} s ON s.version_id = c.version_id
+    WHERE c.code = {_CODE} AND c.prerequisite_json <> :none ORDER BY v.program, v.curriculum_year, c.course_id""",
     none="[]",
 )
 R.statement(

@@ -163,10 +163,16 @@ def metric_status(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.metric_status(m.withColumn("comparator", F.lit(">=")).withColumn("target", F.lit(0.7))).select("name", F.round("value", 4).alias("value"), "n", "status", "passed")
 
 
-@R.add("reproducibility", "SELECT name, true AS same FROM (SELECT DISTINCT engine AS name FROM stage_result)")
+@R.add(
+    "reproducibility",
+    """WITH a AS (SELECT engine AS name, avg(confidence) AS v FROM stage_result GROUP BY engine), b AS (SELECT engine AS name, avg(confidence) AS v FROM stage_result WHERE is_selected GROUP BY engine)
+    SELECT COALESCE(a.name, b.name) AS name, round(a.v, 4) IS NOT DISTINCT FROM round(b.v, 4) AS same FROM a FULL JOIN b ON a.name = b.name""",
+)
 def reproducibility(spark: SparkSession, d: str) -> DataFrame:
-    once = lambda: table(spark, d, "stage_result").groupBy(F.col("engine").alias("name")).agg(F.avg("confidence").alias("value"))
-    return evaluation.reproduced(once(), once(), "name", "value")
+    """A run over all readings against one over the selected ones."""
+    rows = table(spark, d, "stage_result")
+    run = lambda df: df.groupBy(F.col("engine").alias("name")).agg(F.avg("confidence").alias("value"))
+    return evaluation.reproduced(run(rows), run(rows.filter("is_selected")), "name", "value")
 
 
 @R.add("gold_coverage", "SELECT document_id FROM document d WHERE NOT EXISTS (SELECT 1 FROM chunk k WHERE k.document_id = d.document_id)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomfold.functions.text import leading_int
 from loomfold.operators import answers, evidence, questions
 from loomfold.plans.registry import Registry
 from loomfold.sources.tables import table
@@ -108,10 +109,11 @@ _L = "lower(trim(heading))"
     "question_route",
     f"""WITH q AS (SELECT chunk_id, heading, {_N} AS codes, {_any(_L, answers.COMPARE_WORDS)} AS c, {_any(_L, answers.RELATION_WORDS)} AS r, {_any(_L, answers.LIST_WORDS)} AS l, {_any(_L, answers.FIELD_WORDS)} AS f,
     len(list_distinct(list_filter({_TOKENS.format('heading')}, lambda t: regexp_full_match(t, '25(6[0-9]|7[0-9])')))) AS y FROM chunk WHERE length(trim(heading)) BETWEEN 1 AND 500),
-    v AS (SELECT chunk_id, codes, heading, CASE WHEN c AND y >= 2 THEN 'L4,0.9' WHEN c THEN 'L4,0.7' WHEN r AND codes >= 1 THEN 'L3,0.85' WHEN r THEN 'L3,0.7' WHEN codes = 1 AND f AND NOT l THEN 'L1,0.9' WHEN l AND codes = 0 THEN 'L2,0.85' WHEN l THEN 'L2,0.75' WHEN codes = 1 THEN 'L1,0.65' ELSE 'L3,0.4' END AS x FROM q),
-    n AS (SELECT v.chunk_id, count(k.code) AS found FROM (SELECT chunk_id, unnest({codes_sql('heading')}) AS code FROM v) v LEFT JOIN (SELECT DISTINCT code FROM course) k ON k.code = v.code GROUP BY 1)
-    SELECT v.chunk_id, CASE WHEN x[1:2] IN ('L1', 'L2') AND n.found = 0 THEN 'L3' ELSE x[1:2] END AS level, CAST(x[4:] AS DOUBLE) AS confidence, CASE WHEN x[1:2] IN ('L1', 'L2') AND (n.found IS NULL OR n.found > 0) THEN 'structured' ELSE 'evidence_planner' END AS path,
-    x = 'L3,0.4' AS fallback, x[1:2] IN ('L1', 'L2') AND COALESCE(n.found = 0, false) AS escalated FROM v LEFT JOIN n ON n.chunk_id = v.chunk_id""",
+    v AS (SELECT chunk_id, codes, heading, CASE WHEN c AND y >= 2 THEN ['L4', '0.9', 'R4_comparison_multi_version'] WHEN c THEN ['L4', '0.7', 'R4_comparison_implicit_version'] WHEN r AND codes >= 1 THEN ['L3', '0.85', 'R3_relationship_with_code'] WHEN r THEN ['L3', '0.7', 'R3_relationship_general']
+    WHEN codes = 1 AND f AND NOT l THEN ['L1', '0.9', 'R1_single_code_single_field'] WHEN l AND codes = 0 THEN ['L2', '0.85', 'R2_aggregation_no_code'] WHEN l THEN ['L2', '0.75', 'R2_aggregation_with_codes'] WHEN codes = 1 THEN ['L1', '0.65', 'R1_single_code_implicit_field'] ELSE ['L3', '0.4', 'router_fallback(R_default_uncertain)'] END AS x FROM q),
+    n AS (SELECT v.chunk_id, count(k.code) AS found FROM (SELECT chunk_id, unnest({codes_sql('heading')}) AS code FROM v) v LEFT JOIN (SELECT DISTINCT code FROM course) k ON k.code = v.code GROUP BY 1),
+    z AS (SELECT v.chunk_id, x, x[1] IN ('L1', 'L2') AS s, x[1] IN ('L1', 'L2') AND COALESCE(n.found = 0, false) AS e FROM v LEFT JOIN n ON n.chunk_id = v.chunk_id)
+    SELECT chunk_id, CASE WHEN e THEN 'L3' ELSE x[1] END AS level, CAST(x[2] AS DOUBLE) AS confidence, CASE WHEN e THEN 'route_escalated(' || x[3] || ')' ELSE x[3] END AS rule, CASE WHEN s AND NOT e THEN 'structured' ELSE 'evidence_planner' END AS path, x[2] = '0.4' AS fallback, e AS escalated FROM z""",
 )
 def question_route(spark: SparkSession, d: str) -> DataFrame:
     """Routes of the headings; a heading that names courses asks the course table, and goes on to the evidence where that has none of them."""
@@ -120,7 +122,20 @@ def question_route(spark: SparkSession, d: str) -> DataFrame:
     known = table(spark, d, "course").select("code", F.lit(1).alias("one")).distinct()
     found = named.join(known, "code", "left").groupBy("chunk_id").agg(F.count("one").alias("found"))
     routed = rows.join(found, "chunk_id", "left").select("chunk_id", questions.route(F.col("heading"), F.col("found"), F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("r"))
-    return routed.filter("r.valid").select("chunk_id", "r.level", "r.confidence", "r.path", "r.fallback", "r.escalated")
+    return routed.filter("r.valid").select("chunk_id", "r.level", "r.confidence", "r.rule", "r.path", "r.fallback", "r.escalated")
+
+
+@R.add(
+    "question_semester",
+    "SELECT doc_id, CASE WHEN contains(text, 'ภาคต้น') OR contains(text, 'เทอมต้น') OR contains(text, 'เทอมแรก') THEN 1 WHEN contains(text, 'ภาคปลาย') OR contains(text, 'เทอมปลาย') THEN 2 ELSE TRY_CAST(NULLIF(regexp_extract(text, '(?:เทอม|ภาค(?:การศึกษา)?(?:ที่)?)\\s*([1-3])', 1), '') AS INTEGER) END AS semester FROM documents WHERE text IS NOT NULL",
+)
+def question_semester(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", answers.study_semester(F.col("text")).alias("semester"))
+
+
+@R.add("leading_numbers", "SELECT row_id, COALESCE(TRY_CAST(NULLIF(regexp_extract(credits, '^\\s*(\\d{1,9})', 1), '') AS INTEGER), 0) AS n FROM bit_academic_plan_coop WHERE credits IS NOT NULL")
+def leading_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "bit_academic_plan_coop").filter("credits IS NOT NULL").select("row_id", leading_int(F.col("credits")).alias("n"))
 
 
 @R.add("topic_words")

@@ -111,6 +111,18 @@ def maxsim_rerank(spark: SparkSession, d: str) -> DataFrame:
     return tokens.withColumn("qt", query).select("vec_id", F.round(retrieval.maxsim(F.col("qt"), F.col("toks")), 5).alias("score"))
 
 
+@R.add(
+    "rerank_prefix",
+    """WITH l AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank, doc_id % 7 AS s FROM documents WHERE n_chars IS NOT NULL ORDER BY n_chars DESC, doc_id LIMIT 50)
+    SELECT doc_id, rank, row_number() OVER (ORDER BY CASE WHEN rank <= 20 THEN 0 ELSE 1 END, CASE WHEN rank <= 20 THEN -s ELSE 0 END, rank, doc_id) AS new_rank FROM l""",
+)
+def rerank_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """The longest fifty texts; the first twenty in the order of another score."""
+    rows = table(spark, d, "documents").filter("n_chars IS NOT NULL").select("doc_id", F.col("n_chars").cast("double").alias("score"))
+    listed = retrieval.ranked(rows, "doc_id", 50).withColumn("s", (F.col("doc_id") % 7).cast("double"))
+    return retrieval.rerank_prefix(listed, "doc_id", 20, "s").select("doc_id", "rank", "new_rank")
+
+
 @R.add(
     "phrase_boost",
     """SELECT chunk_id, round(least((CASE WHEN contains(t, 'หน่วยกิต') OR contains(t, 'ชั่วโมงบรรยาย') OR contains(t, 'credit') THEN 1.2 ELSE 1.0 END)
