@@ -37,10 +37,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).filter("piece = 1").select("src", "item_id")
 
 
-def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, scan_noise.Model, DataFrame]:
-    page, stages = table(spark, d, "page"), table(spark, d, "stage_result")
-    model, rare = scan_noise.learn(scan_noise.clean_texts(page), table(spark, d, "lexicon_term"), scan_noise.scan_rows(page, stages))
-    return scan_noise.scanned_texts(page, stages), model, rare
+def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, scan_noise.Model, DataFrame, DataFrame]:
+    page = table(spark, d, "page")
+    scans = scan_noise.scan_rows(page, table(spark, d, "stage_result"))
+    model, rare = scan_noise.learn(scan_noise.clean_texts(page), table(spark, d, "lexicon_term"), scans)
+    return scans, model, rare, scan_noise.with_document(scans, page)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

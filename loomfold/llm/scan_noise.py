@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomfold.llm.canonical_form import LOOK_ALIKES, plain_form
@@ -359,12 +359,18 @@ def is_head(line: str, head: str | None) -> bool:
     return 2 * len(a & b) >= HEAD_LIKENESS * (len(a) + len(b))
 
 
+def edge_lines(text: Column) -> Column:
+    """The distinct first and last ``EDGE`` lines of a text that are not blank, trimmed."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.length(x) > 0)
+    # bound once: the array is taken at both ends
+    return F.get(F.transform(F.array(lines), lambda v: F.array_distinct(F.concat(F.slice(v, 1, EDGE), F.reverse(F.slice(F.reverse(v), 1, EDGE))))), F.lit(0))
+
+
 def heads(texts: DataFrame) -> DataFrame:
     """``(document_id, head)``: the line found most at the edges of the pages of a document,
     on two pages at least and a twentieth of all.  Documents without one have no row."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.length(x) > 0)
-    edge = texts.filter("document_id IS NOT NULL AND text <> ''").select("document_id", "page_id", lines.alias("l"))
-    edge = edge.select("document_id", "page_id", F.explode(F.array_distinct(F.concat(F.slice("l", 1, EDGE), F.reverse(F.slice(F.reverse("l"), 1, EDGE))))).alias("line"))
+    edges = F.col("edge") if "edge" in texts.columns else edge_lines(F.col("text"))
+    edge = texts.filter("document_id IS NOT NULL").select("document_id", "page_id", F.explode(edges).alias("line"))
     s = F.regexp_replace(F.regexp_replace("line", r"\s+", " "), r"^\d{1,3} +(?=\D)", "")
     s = F.regexp_replace(s, r"(?<=[^\d\s]) *\|? *\d{1,3}$|(?<=\d{4}) *\|? +\d{1,3}$|(?<=\d) *\| *\d{1,3}$", "")
     edge = edge.select("document_id", "page_id", s.alias("head")).filter(F.length("head") >= HEAD_LENGTH).filter(F.col("head").rlike("[A-Za-zก-๙]{2}")).distinct()
@@ -540,19 +546,16 @@ def _paragraphs(lines: list[str], body: list[int], out: dict[int, str], joined:
     return text
 
 
-def scanned_texts(page: DataFrame, stage_result: DataFrame) -> DataFrame:
-    """``(src, item_id, page_id, document_id, text)`` of the scanned pages and of what the engines read."""
-    where = page.select("page_id", "document_id")
-    return page.filter("extraction_method LIKE 'ocr_%'").select(F.lit("page").alias("src"), F.col("page_id").alias("item_id"), "page_id", "document_id", F.col("page_text").alias("text")).unionByName(
-        stage_result.join(where, "page_id", "left").select(F.lit("stage_result").alias("src"), F.col("stage_result_id").alias("item_id"), "page_id", "document_id", "text")
+def scan_rows(page: DataFrame, stage_result: DataFrame) -> DataFrame:
+    """``(src, item_id, page_id, text)`` of the scanned pages and of what the engines read."""
+    return page.filter("extraction_method LIKE 'ocr_%'").select(F.lit("page").alias("src"), F.col("page_id").alias("item_id"), "page_id", F.col("page_text").alias("text")).unionByName(
+        stage_result.select(F.lit("stage_result").alias("src"), F.col("stage_result_id").alias("item_id"), "page_id", "text")
     )
 
 
-def scan_rows(page: DataFrame, stage_result: DataFrame) -> DataFrame:
-    """``(src, item_id, text)`` of the same."""
-    return page.filter("extraction_method LIKE 'ocr_%'").select(F.lit("page").alias("src"), F.col("page_id").alias("item_id"), F.col("page_text").alias("text")).unionByName(
-        stage_result.select(F.lit("stage_result").alias("src"), F.col("stage_result_id").alias("item_id"), "text")
-    )
+def with_document(scans: DataFrame, page: DataFrame) -> DataFrame:
+    """``(src, item_id, page_id, edge, document_id)`` of scan rows: the lines at the edges instead of the text, which stays where it is."""
+    return scans.select("src", "item_id", "page_id", edge_lines(F.col("text")).alias("edge")).join(page.select("page_id", "document_id"), "page_id", "left")
 
 
 def clean_texts(page: DataFrame) -> DataFrame:
@@ -560,9 +563,13 @@ def clean_texts(page: DataFrame) -> DataFrame:
     return page.filter("NOT coalesce(extraction_method LIKE 'ocr_%', false)").select(F.col("page_text").alias("text"))
 
 
-def _repairs(texts: DataFrame, model: Model, rare: DataFrame, schema: str, rows) -> DataFrame:
+def _repairs(texts: DataFrame, model: Model, rare: DataFrame, placed: DataFrame | None, schema: str, rows) -> DataFrame:
     held = texts.sparkSession.sparkContext.broadcast(model)
-    with_head = texts.filter("text <> ''").join(heads(texts), "document_id", "left").join(rare, ["src", "item_id"], "left")
+    where = texts if placed is None else placed
+    # what belongs to a text is put together without it, so that the texts move once
+    beside = where.select("src", "item_id", "document_id").join(heads(where), "document_id").select("src", "item_id", "head")
+    beside = beside.join(rare, ["src", "item_id"], "full_outer")
+    known = texts.select("src", "item_id", "text").filter("text <> ''").join(beside, ["src", "item_id"], "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -572,11 +579,12 @@ def _repairs(texts: DataFrame, model: Model, rare: DataFrame, schema: str, rows)
                 m.know(r or ())
             yield rows(zip(*(batch.column(c).to_pylist() for c in ("src", "item_id", "text", "head")), strict=True), m)
 
-    return with_head.select("src", "item_id", "text", "head", "rare").mapInArrow(run, schema)
+    return known.select("src", "item_id", "text", "head", "rare").mapInArrow(run, schema)
 
 
-def noise(texts: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
-    """``(src, item_id, kind, found)``, distinct, for ``texts`` with ``src, item_id, page_id, document_id, text``.
+def noise(texts: DataFrame, model: Model, rare: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """``(src, item_id, kind, found)``, distinct, for ``texts`` with ``src, item_id, text`` and ``page_id, document_id``,
+    which ``placed``, as ``with_document`` gives it, may have instead.
 
     Null and empty texts have no noise; texts without a document have no head."""
 
@@ -585,10 +593,10 @@ def noise(texts: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
         cols = list(zip(*out, strict=True)) or [[], [], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["src", "item_id", "kind", "found"])
 
-    return _repairs(texts, model, rare, "src string, item_id long, kind string, found string", rows)
+    return _repairs(texts, model, rare, placed, "src string, item_id long, kind string, found string", rows)
 
 
-def repaired(texts: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
+def repaired(texts: DataFrame, model: Model, rare: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """``(src, item_id, text)``: the texts as continuous paragraphs; null and empty texts do not come out."""
 
     def rows(items, m: Model) -> pa.RecordBatch:
@@ -596,4 +604,4 @@ def repaired(texts: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
         cols = list(zip(*out, strict=True)) or [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()), strict=True)], ["src", "item_id", "text"])
 
-    return _repairs(texts, model, rare, "src string, item_id long, text string", rows)
+    return _repairs(texts, model, rare, placed, "src string, item_id long, text string", rows)
