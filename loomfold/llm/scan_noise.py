@@ -361,19 +361,22 @@ def is_head(line: str, head: str | None) -> bool:
 
 def edge_lines(text: Column) -> Column:
     """The distinct first and last ``EDGE`` lines of a text that are not blank, trimmed."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.length(x) > 0)
+    white = F.lit(" \t\n\x0b\f\r")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, white)) > 0)
     # bound once: the array is taken at both ends
-    return F.get(F.transform(F.array(lines), lambda v: F.array_distinct(F.concat(F.slice(v, 1, EDGE), F.reverse(F.slice(F.reverse(v), 1, EDGE))))), F.lit(0))
+    ends = F.get(F.transform(F.array(lines), lambda v: F.concat(F.slice(v, 1, EDGE), F.reverse(F.slice(F.reverse(v), 1, EDGE)))), F.lit(0))
+    return F.array_distinct(F.transform(ends, lambda x: F.btrim(x, white)))
 
 
 def heads(texts: DataFrame) -> DataFrame:
     """``(document_id, head)``: the line found most at the edges of the pages of a document,
     on two pages at least and a twentieth of all.  Documents without one have no row."""
     edges = F.col("edge") if "edge" in texts.columns else edge_lines(F.col("text"))
-    edge = texts.filter("document_id IS NOT NULL").select("document_id", "page_id", F.explode(edges).alias("line"))
-    s = F.regexp_replace(F.regexp_replace("line", r"\s+", " "), r"^\d{1,3} +(?=\D)", "")
-    s = F.regexp_replace(s, r"(?<=[^\d\s]) *\|? *\d{1,3}$|(?<=\d{4}) *\|? +\d{1,3}$|(?<=\d) *\| *\d{1,3}$", "")
-    edge = edge.select("document_id", "page_id", s.alias("head")).filter(F.length("head") >= HEAD_LENGTH).filter(F.col("head").rlike("[A-Za-zก-๙]{2}")).distinct()
+    # forms are made in the array, so that the filters see values and do not make them again
+    bare = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^\d{1,3} +(?=\D)", ""), r"(?<=[^\d\s]) *\|? *\d{1,3}$|(?<=\d{4}) *\|? +\d{1,3}$|(?<=\d) *\| *\d{1,3}$", "")
+    long = F.filter(edges, lambda x: F.length(x) >= HEAD_LENGTH)
+    edge = texts.filter("document_id IS NOT NULL").select("document_id", "page_id", F.explode(F.transform(long, bare)).alias("head"))
+    edge = edge.filter((F.length("head") >= HEAD_LENGTH) & F.col("head").rlike("[A-Za-zก-๙]{2}")).distinct()
     pages = texts.filter("document_id IS NOT NULL").groupBy("document_id").agg(F.count_distinct("page_id").alias("pages"))
     often = edge.groupBy("document_id", "head").agg(F.count("*").alias("n")).filter("n >= 2")
     return often.groupBy("document_id").agg(F.max(F.struct("n", F.length("head").alias("k"), "head")).alias("m")).join(pages, "document_id").filter("m.n >= pages / 20").select("document_id", F.col("m.head").alias("head"))
@@ -555,7 +558,7 @@ def scan_rows(page: DataFrame, stage_result: DataFrame) -> DataFrame:
 
 def with_document(scans: DataFrame, page: DataFrame) -> DataFrame:
     """``(src, item_id, page_id, edge, document_id)`` of scan rows: the lines at the edges instead of the text, which stays where it is."""
-    return scans.select("src", "item_id", "page_id", edge_lines(F.col("text")).alias("edge")).join(page.select("page_id", "document_id"), "page_id", "left")
+    return checkpoint(scans.select("src", "item_id", "page_id", edge_lines(F.col("text")).alias("edge")).join(page.select("page_id", "document_id"), "page_id", "left"))
 
 
 def clean_texts(page: DataFrame) -> DataFrame:
