@@ -17,13 +17,17 @@ from loomfold.functions.thai import mark_class
 #: Weights and limits of the page score and route.
 WEIGHTS = (0.45, 0.20, 0.20, 0.15)
 FULL_CHARS, FULL_TERMS, DEEP_IMAGES, FAST_IMAGES = 1200, 12, 0.60, 0.30
-#: Sizes of chunks and openings of headings.
+#: Sizes of chunks.
 SMALL, LARGE, TARGET = 50, 1200, 600
-HEADING = re.compile(
-    r"(?:หมวดวิชา|หมวดที่|ส่วนที่)\s*\S|(?:ปีที่|ปีการศึกษาที่|ภาคการศึกษาที่|ภาคเรียนที่)\s*\d|(?:\d{1,2}\.\d+(?:\.\d+)*|\d{1,2}\.)\s+\S"
-    r"|บทที่|ภาคผนวก|ตารางที่|แผนการศึกษา|โครงสร้างหลักสูตร|คุณสมบัติ|เกณฑ์|ระบบ|อาจารย์|ข้อกำหนด|วัตถุประสงค์|ปรัชญา|ความสำคัญ|วิสัยทัศน์|พันธกิจ"
-    r"|(?i:Chapter|Section|Part|Table|Appendix|Program|Curriculum)\s"
-)
+#: Openings of headings.
+HEADINGS = [
+    r"(?:หมวดวิชา|หมวดที่|ส่วนที่)\s*\S",
+    r"(?:ปีที่|ปีการศึกษาที่|ภาคการศึกษาที่|ภาคเรียนที่)\s*\d",
+    r"(?:\d{1,2}\.\d+(?:\.\d+)*|\d{1,2}\.)\s+\S",
+    r"(?:บทที่|ภาคผนวก|ตารางที่|แผนการศึกษา|โครงสร้างหลักสูตร|คุณสมบัติ|เกณฑ์|ระบบ|อาจารย์|ข้อกำหนด|วัตถุประสงค์|ปรัชญา|ความสำคัญ|วิสัยทัศน์|พันธกิจ)",
+    r"(?i:Chapter|Section|Part|Table|Appendix|Program|Curriculum)\s",
+]
+HEADING = re.compile("|".join(HEADINGS))
 #: Words in the headers of tables.
 HEADER_WORDS = ("รหัสวิชา", "ชื่อวิชา", "หน่วยกิต", "code", "course", "credit", "รหัส", "ชื่อ", "ภาคเรียน", "ปี", "หมวดวิชา", "ประเภท", "วิชาบังคับก่อน", "หมายเหตุ", "ลำดับ", "no", "#", "รวม", "total")
 _CELLS = re.compile(r"\t|  {2,}|\|")

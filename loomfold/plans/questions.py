@@ -50,6 +50,23 @@ R.statement(
     """SELECT version_id, year, semester, count(*) AS courses, sum(COALESCE(credits_total, 0)) AS credits, sum(sum(COALESCE(credits_total, 0))) OVER (PARTITION BY version_id ORDER BY year, semester) AS credits_so_far
     FROM {course} WHERE version_id IS NOT NULL AND year IS NOT NULL AND semester IS NOT NULL GROUP BY version_id, year, semester""",
 )
+R.statement(
+    "version_with_plan",
+    """SELECT program, version_id, n_plan FROM (SELECT v.program, v.version_id, v.n_plan, row_number() OVER (PARTITION BY v.program ORDER BY v.n_plan DESC, v.curriculum_year DESC, v.version_id) AS rn
+    FROM (SELECT program, version_id, curriculum_year, count(year) AS n_plan FROM {course} WHERE edition_status = 'current' AND program <> :legacy AND version_id IS NOT NULL GROUP BY program, version_id, curriculum_year) v) x WHERE rn = 1""",
+    legacy="BIT",
+)
+R.statement(
+    "quota_issues",
+    """SELECT page_id, CASE WHEN chars = 0 THEN 'low_content' WHEN used > :quota THEN 'ocr_budget_exhausted' END AS issue FROM (SELECT page_id, length(page_text) AS chars, sum(CASE WHEN length(page_text) BETWEEN 1 AND 119 THEN 1 ELSE 0 END) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used
+    FROM {page} WHERE page_text IS NOT NULL AND length(page_text) < 120) x WHERE chars = 0 OR used > :quota""",
+    quota=20,
+)
+R.statement("page_restart", "SELECT page_id, CASE WHEN completed_at IS NULL THEN 'pending' ELSE status END AS status, CASE WHEN completed_at IS NULL THEN NULL ELSE page_sha256 END AS page_sha256 FROM {page}")
+R.statement(
+    "canonical_pages_measured",
+    """SELECT p.page_id, m.score FROM {page} p JOIN {document} d ON d.document_id = p.document_id LEFT JOIN (SELECT page_id, max(page_quality_score) AS score FROM {page_metrics} WHERE page_quality_score BETWEEN 0 AND 1 GROUP BY page_id) m ON m.page_id = p.page_id WHERE d.canonical_document_id = d.document_id""",
+)
 R.statement("incomplete_versions", "SELECT document_id FROM {document} WHERE COALESCE(trim(program), '') = '' OR curriculum_year IS NULL OR COALESCE(trim(edition_status), '') = ''")
 R.statement("bad_hashes", "SELECT document_id, sha256 FROM {document} WHERE sha256 IS NULL OR length(sha256) <> 64 OR lower(sha256) <> sha256 OR length(translate(sha256, '0123456789abcdef', '')) > 0")
 R.statement(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomfold.operators import relational, retrieval
 from loomfold.plans.registry import Registry
-from loomfold.sources.shared import shared_path
+from loomfold.sources.shared import shared_path, stored
 from loomfold.sources.tables import table
 
 R = Registry()
@@ -94,6 +94,32 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top_k(_dense(spark, d), "vec_id", 50).withColumn("score", F.round("score", 5))
 
 
+@R.add("dense_in_scope", f"WITH {_Q} SELECT vec_id, round({_COS}, 5) AS score FROM embeddings e, q WHERE e.label IN (1, 3) ORDER BY {_COS} DESC, vec_id LIMIT 50")
+def dense_in_scope(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").withColumn("q", _query_vector(spark, d).scalar())
+    scored = retrieval.dense_scores(rows, "vec_id", "embedding", F.col("q"), F.col("label").isin(1, 3))
+    return retrieval.top_k(scored, "vec_id", 50).withColumn("score", F.round("score", 5))
+
+
+@R.add("dense_by_units", f"WITH {_Q} SELECT vec_id, round({_COS}, 5) AS score FROM embeddings e, q ORDER BY {_COS} DESC, vec_id LIMIT 20")
+def dense_by_units(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of length one, written once; a search is one product a vector."""
+    stored_units = stored(retrieval.unit_vectors(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding"))
+    query = stored_units.groupBy().agg(F.min_by("embedding", "vec_id")).scalar()
+    scored = stored_units.withColumn("q", query).select("vec_id", retrieval.dot(F.col("embedding"), F.col("q")).alias("score"))
+    return retrieval.top_k(scored, "vec_id", 20).withColumn("score", F.round("score", 5))
+
+
+@R.add("query_status", "SELECT doc_id, CASE WHEN length(trim(COALESCE(text, ''), ' ')) = 0 THEN 'empty' WHEN length(trim(COALESCE(text, ''), ' ')) > 1000 THEN 'too_long' ELSE 'ok' END AS status FROM documents")
+def query_status(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", retrieval.query_status(F.col("text")).alias("status"))
+
+
+@R.add("telling_names", f"SELECT course_id FROM course WHERE NOT COALESCE(regexp_matches(concat_ws(' ', name_th, name_en), '(?i){'|'.join(retrieval.PLACEHOLDERS)}'), false)")
+def telling_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "course").filter(~retrieval.is_placeholder(F.concat_ws(" ", "name_th", "name_en"))).select("course_id")
+
+
 @R.add("dense_relative_threshold", f"WITH {_Q}, s AS (SELECT vec_id, {_COS} AS score FROM embeddings e, q WHERE e.vec_id > 0) SELECT vec_id, round(score, 5) AS score FROM s WHERE score >= greatest(0.1, (SELECT max(score) FROM s) - 0.15)")
 def dense_relative_threshold(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.relative_threshold(_dense(spark, d).filter("vec_id > 0"), "score", 0.15, 0.1).withColumn("score", F.round("score", 5))
