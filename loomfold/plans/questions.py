@@ -296,11 +296,12 @@ def answer_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 _BUILT = """WITH k AS (SELECT document_id, page_start, chunk_id, 'cite-' || lpad(CAST(chunk_id % 900 + 1 AS VARCHAR), 3, '0') AS c, COALESCE(content_text, '') AS t FROM chunk WHERE document_id IS NOT NULL),
     a AS (SELECT concat_ws('/', document_id, CAST(page_start AS VARCHAR)) AS request_id, string_agg(t || ' [' || c || '].', chr(10) ORDER BY chunk_id) AS answer, list(c) FILTER (chunk_id % 7 <> 0) AS issued FROM k GROUP BY document_id, page_start),
-    l AS (SELECT request_id, COALESCE(issued, []) AS issued, regexp_replace(unnest(string_split(answer, chr(10))), '^\\s+|\\s+$', '', 'g') AS x FROM a),
-    s AS (SELECT request_id, issued, regexp_replace(unnest(CASE WHEN regexp_matches(x, '^[-*•–]') THEN [x] ELSE string_split(regexp_replace(x, '([.!?。])\\s+', '\\1' || chr(1), 'g'), chr(1)) END), '^\\s+|\\s+$', '', 'g') AS claim FROM l),
-    i AS (SELECT request_id, claim, regexp_extract_all(claim, '\\[(cite-[0-9]{3,})\\]', 1) AS ids, issued FROM s WHERE claim <> ''),
-    g AS (SELECT request_id, claim, len(ids) AS n, len(list_filter(ids, lambda z: list_contains(issued, z))) AS good FROM i),
-    v AS (SELECT request_id, CAST(sum(good) AS INTEGER) AS passed, CAST(count(*) FILTER (good < n) AS INTEGER) AS removed, CAST(count(*) FILTER (n = 0 AND length(claim) >= 10 AND NOT regexp_matches(claim, '^(==|#|คำถาม)') AND NOT claim LIKE '%?' AND NOT (starts_with(claim, 'หลักสูตร') AND length(claim) < 50)) AS INTEGER) AS unsupported FROM g GROUP BY request_id)"""
+    l AS (SELECT request_id, COALESCE(issued, []) AS issued, generate_subscripts(z, 1) AS li, regexp_replace(unnest(z), '^\\s+|\\s+$', '', 'g') AS x FROM (SELECT *, string_split(answer, chr(10)) AS z FROM a)),
+    s AS (SELECT request_id, issued, li, generate_subscripts(z, 1) AS pi, regexp_replace(unnest(z), '^\\s+|\\s+$', '', 'g') AS claim FROM (SELECT *, CASE WHEN regexp_matches(x, '^[-*•–]') THEN [x] ELSE string_split(regexp_replace(x, '([.!?。])\\s+', '\\1' || chr(1), 'g'), chr(1)) END AS z FROM l)),
+    i AS (SELECT request_id, li, pi, claim, regexp_extract_all(claim, '\\[(cite-[0-9]{3,})\\]', 1) AS ids, issued FROM s WHERE claim <> ''),
+    g AS (SELECT request_id, li, pi, claim, len(ids) AS n, len(list_filter(ids, lambda z: list_contains(issued, z))) AS good, list_filter(ids, lambda z: NOT list_contains(issued, z)) AS bad FROM i),
+    k2 AS (SELECT *, CASE WHEN good < n THEN trim(list_reduce(list_prepend(claim, bad), lambda t, z: replace(t, '[' || z || ']', '')), ' ') ELSE claim END AS clean FROM g),
+    v AS (SELECT request_id, COALESCE(string_agg(CASE WHEN n = 0 OR good > 0 THEN NULLIF(clean, '') END, chr(10) ORDER BY li, pi), '') AS validated, CAST(sum(good) AS INTEGER) AS passed, CAST(count(*) FILTER (good < n) AS INTEGER) AS removed, CAST(count(*) FILTER (n = 0 AND length(claim) >= 10 AND NOT regexp_matches(claim, '^(==|#|คำถาม)') AND NOT claim LIKE '%?' AND NOT (starts_with(claim, 'หลักสูตร') AND length(claim) < 50)) AS INTEGER) AS unsupported, 0 AS replaced FROM k2 GROUP BY request_id)"""
 
 
 def built_answers(spark: SparkSession, d: str) -> DataFrame:
@@ -316,7 +317,7 @@ def built_answers(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("citations_validate", f"{_BUILT} SELECT * FROM v")
 def citations_validate(spark: SparkSession, d: str) -> DataFrame:
-    return answers.validate_answers(built_answers(spark, d), "request_id").select("request_id", "passed", "removed", "unsupported")
+    return answers.validate_answers(built_answers(spark, d), "request_id")
 
 
 @R.add("citations_validated_texts")
