@@ -135,6 +135,12 @@ def _spread(fragments: DataFrame) -> DataFrame:
     return fragments.repartition(tasks, "grp", "frag").sortWithinPartitions("grp", "frag")
 
 
+def _sized(edges: DataFrame) -> DataFrame:
+    """``edges``, written once, with ``links``, the number of its group's."""
+    edges = stored(edges)
+    return edges.join(edges.groupBy("grp").agg(F.count("*").alias("links")), "grp")
+
+
 def _heads_of(edges: DataFrame, level: int) -> DataFrame:
     """``(grp, node, head)`` of the nodes with links: the first head up the chain of one parent each,
     the one with the least hash of those with links of their own.  Where the way is longer than
@@ -176,8 +182,7 @@ class Contraction:
 def contract(edges: DataFrame, fragment: int = FRAGMENT, level: int = 0, longest: bool = False) -> Contraction:
     """Contracts ``(grp, node, parent, hops)`` by one level."""
     run = _solver(_farthest if longest else _nearest)
-    size = edges.groupBy("grp").agg(F.count("*").alias("links"))
-    sized = edges.join(size, "grp")
+    sized = _sized(edges.select("grp", "node", "parent", "hops"))
     few = sized.filter(F.col("links") <= fragment).select("grp", F.lit(0).cast("long").alias("frag"), "node", "parent", "hops")
     small = _spread(few).mapInPandas(run, _PAIRS).select("grp", "node", "anc", "hops")
     large = stored(sized.filter(F.col("links") > fragment).select("grp", "node", "parent", "hops"))
@@ -316,8 +321,7 @@ def _climb(steps: DataFrame, fragment: int, level: int) -> DataFrame:
     ``steps`` has one row ``(grp, node, parent, way)`` for each node with a parent.
     The chains inside fragments are contracted, the quotient forest of the nodes
     that other fragments run into is solved the same way, and its ways are put behind the fragments' ways."""
-    size = steps.groupBy("grp").agg(F.count("*").alias("links"))
-    sized = steps.join(size, "grp")
+    sized = _sized(steps)
     few = sized.filter(F.col("links") <= fragment).select("grp", F.lit(0).cast("long").alias("frag"), "node", "parent", "way")
     small = _spread(few).mapInPandas(_ways, _WAYS).select("grp", "node", "way")
     large = stored(sized.filter(F.col("links") > fragment).select("grp", "node", "parent", "way"))
