@@ -177,6 +177,8 @@ class Contraction:
     local: DataFrame | None = None
     exits: DataFrame | None = None
     quotient: DataFrame | None = None
+    n_large: int = 0
+    n_quotient: int = 0
 
 
 def contract(edges: DataFrame, fragment: int = FRAGMENT, level: int = 0, longest: bool = False) -> Contraction:
@@ -186,7 +188,8 @@ def contract(edges: DataFrame, fragment: int = FRAGMENT, level: int = 0, longest
     few = sized.filter(F.col("links") <= fragment).select("grp", F.lit(0).cast("long").alias("frag"), "node", "parent", "hops")
     small = _spread(few).mapInPandas(run, _PAIRS).select("grp", "node", "anc", "hops")
     large = stored(sized.filter(F.col("links") > fragment).select("grp", "node", "parent", "hops"))
-    if large.isEmpty():
+    n_large = large.count()
+    if not n_large:
         return Contraction(small)
     parts = stored(_cut(large, fragment, level))
     local = stored(_spread(parts.select("grp", "frag", "node", "parent", "hops")).mapInPandas(run, _PAIRS))
@@ -195,7 +198,7 @@ def contract(edges: DataFrame, fragment: int = FRAGMENT, level: int = 0, longest
     entered = exits.select("grp", F.col("anc").alias("node")).distinct()
     best = F.max if longest else F.min
     quotient = stored(exits.join(entered, ["grp", "node"], "left_semi").groupBy("grp", "node", F.col("anc").alias("parent")).agg(best("hops").alias("hops")))
-    return Contraction(small, large, local.select("grp", "node", "anc", "hops"), exits, quotient)
+    return Contraction(small, large, local.select("grp", "node", "anc", "hops"), exits, quotient, n_large, quotient.count())
 
 
 def ancestors(edges: DataFrame, fragment: int = FRAGMENT, longest: bool = False) -> DataFrame:
@@ -217,10 +220,10 @@ def _ancestors(edges: DataFrame, fragment: int, longest: bool, level: int) -> Da
     if c.large is None:
         return c.small
     best = F.max if longest else F.min
-    if c.quotient.isEmpty():
+    if not c.n_quotient:
         ways = c.exits
     else:
-        shrinks = 2 * c.quotient.count() <= c.large.count()
+        shrinks = 2 * c.n_quotient <= c.n_large
         beyond = _ancestors(c.quotient, fragment, longest, level + 1) if shrinks else _stepwise(c.quotient, longest)
         beyond = beyond.select("grp", F.col("node").alias("mid"), "anc", F.col("hops").alias("more"))
         ways = c.exits.unionByName(c.exits.withColumnRenamed("anc", "mid").join(beyond, ["grp", "mid"]).select("grp", "node", "anc", (F.col("hops") + F.col("more")).alias("hops")))
