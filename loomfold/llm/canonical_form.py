@@ -88,7 +88,7 @@ _SHARED = set(LOOK_ALIKES) | set(LOOK_ALIKES.values())
 def _order(m: re.Match) -> str:
     """Vowels before tone marks before the mark that silences; a mark shows once."""
     rank = lambda c: 2 if "่" <= c <= "๋" else 3 if c in "์๎" else 1 if c == "ํ" else 0
-    return "".join(dict.fromkeys(sorted(m.group(), key=lambda c: (rank(c), c))))
+    return "".join(dict.fromkeys(sorted(m.group(), key=lambda c: (rank(c), unicodedata.combining(c), c))))
 
 
 def plain_form(text: str) -> str:
@@ -99,13 +99,17 @@ def plain_form(text: str) -> str:
     else:
         other = bool(_OTHER.search(text))
         t = unicodedata.normalize("NFC", text.translate(_SIMPLE)) if other else text
-        t = t.replace("เเ", "แ")
-        if _MISPLACED.search(t):
-            t = _MARKS.sub(_order, t)
-        if "ํ" in t:
-            t = _SPLIT_AM.sub(r"\1\2ำ", t)
-        if other:
-            t = unicodedata.normalize("NFC", t)
+        for _ in range(8):
+            t = t.replace("เเ", "แ")
+            if _MISPLACED.search(t):
+                t = _MARKS.sub(_order, t)
+            if "ํ" in t:
+                t = _SPLIT_AM.sub(r"\1\2ำ", t)
+            composed = unicodedata.normalize("NFC", t) if other else t
+            # composition may bring marks together that other marks kept apart
+            if composed == t:
+                break
+            t = composed
     return _LINE_END.sub("\n", t).rstrip()
 
 

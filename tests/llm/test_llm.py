@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from loomfold.llm import canonical_form, canonical_mapping, packing, scan_noise, spans, splitting, text_quality, tokens
@@ -281,6 +281,7 @@ def test_same_and_different_looks(spark):
 
 
 @given(st.text(st.sampled_from(list("กขเาิ่้ําแaé́е \n​")), max_size=20))
+@example("\u0e48\u0301\u0e4d\u0e48\u0e32")
 @settings(max_examples=300, deadline=None)
 def test_plain_form_is_stable(text):
     once = canonical_form.plain_form(text)
